@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT_MIN_CIRO
+from ..schema import dim
 
 # The "all" choice of every selector and the filter-text
 # captions, as the reference shows them.
@@ -75,10 +76,12 @@ class Selection:
 
 
 def non_empty(df: DataFrame, key: str) -> DataFrame:
-    """FLT-9: drop rows whose group key is '' (null is '' after load)."""
+    """FLT-9: drop rows whose group key is '' or missing."""
     return df.where(F.col(key) != F.lit(""))
 
 
 def key_equals(df: DataFrame, key: str, value: str) -> DataFrame:
-    """FLT-10: drill-down key equality."""
+    """FLT-10: drill-down key equality ('' also matches a missing value)."""
+    if value == "":
+        return df.where(dim(key) == F.lit(""))
     return df.where(F.col(key) == F.lit(value))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code_from_label, option_label
+from ..schema import dim
 from .filters import ALL
 
 # Parent -> child levels of the selectors (OPT-4..7).
@@ -28,7 +29,7 @@ HIERARCHY = {
 def distinct_values(fact: DataFrame, column: str) -> DataFrame:
     """OPT-1..3: distinct non-empty values, ascending."""
     return (fact.where(F.col(column) != "").select(column).distinct()
-                .orderBy(F.col(column).asc()))
+                .orderBy(F.col(column).asc()))  # non-empty: never null here
 
 
 def child_pairs(fact: DataFrame, parent: str, child: str,
@@ -36,8 +37,8 @@ def child_pairs(fact: DataFrame, parent: str, child: str,
     """OPT-4..7: distinct (parent, child[, extra]) with a non-empty child; the
     parent may be ''."""
     cols = [parent, child, *extra]
-    return (fact.where(F.col(child) != "").select(*cols).dropDuplicates()
-                .orderBy(*[F.col(c).asc() for c in cols]))
+    return (fact.where(F.col(child) != "").select(*[dim(c).alias(c) for c in cols])
+                .dropDuplicates().orderBy(*[F.col(c).asc() for c in cols]))
 
 
 def store_options(fact: DataFrame) -> DataFrame:

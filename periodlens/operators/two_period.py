@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Periods
-from ..schema import PERIOD
+from ..schema import PERIOD, dim
 
 # Output measure name -> (fact column, summed as ABS). Waste, inventory
 # difference and campaign loss are signed and always go through ABS per row
@@ -75,11 +75,12 @@ def two_period(fact: DataFrame, keys: str | Sequence[str], labels: Sequence[str]
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = _sum_columns(measures, periods, cur_only)
     src = in_periods(fact, periods)
+    by = [dim(k).alias(k) for k in keys]
     if not labels:
-        return src.groupBy(*keys).agg(*[period_sum(m, y).alias(n) for n, m, y in cols])
+        return src.groupBy(*by).agg(*[period_sum(m, y).alias(n) for n, m, y in cols])
     exact = [F.sum(F.when(F.col(PERIOD) == F.lit(y), measure_value(m)).otherwise(F.lit(0)))
              .alias(n) for n, m, y in cols]
-    partial = src.groupBy(*keys, *labels).agg(*exact)
+    partial = src.groupBy(*by, *[dim(lbl).alias(lbl) for lbl in labels]).agg(*exact)
     return partial.groupBy(*keys).agg(
         *[F.max(lbl).alias(lbl) for lbl in labels],
         *[F.sum(n).cast("double").alias(n) for n, _, _ in cols])

@@ -76,13 +76,23 @@ def _measure(df: DataFrame, name: str) -> Column:
     return c.alias(name)
 
 
+def dim(name: str) -> Column:
+    """A dimension as the reference compares it: a string, missing = ''.
+
+    The loaded columns keep their nulls; every operator that groups by,
+    labels with or lists a dimension reads it through this expression, and
+    predicates compare with non-empty literals (where null and '' behave the
+    same), so equality filters stay plain column comparisons that the
+    parquet reader can use."""
+    return F.coalesce(F.col(name), F.lit(""))
+
+
 def normalise(df: DataFrame) -> DataFrame:
-    """Canonical column order; string dimensions with null -> '' (the
-    reference compares dimensions as strings, missing = ''); period as int;
-    NaN measures -> null. Decimal measures stay decimal so sums are exact."""
+    """Canonical column order; dimensions as strings, period as int; NaN
+    measures -> null. Decimal measures stay decimal so sums are exact."""
     df = lower_case_columns(df)
     check_fact(df)
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIMENSIONS]
+    cols = [F.col(c).cast("string").alias(c) for c in DIMENSIONS]
     cols.append(F.col(PERIOD).cast("int").alias(PERIOD))
     cols += [_measure(df, m) for m in MEASURES]
     return df.select(*cols)

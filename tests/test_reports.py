@@ -1,0 +1,52 @@
+"""Report datasets (RPT-1..8)."""
+
+import datetime as dt
+
+import pytest
+
+from periodlens import Periods, Selection
+from periodlens.plans import reports as R
+from periodlens.sources import fixture_fact
+
+from .conftest import SF_SMALL
+
+P = Periods(1999, 2000)
+NOW = dt.datetime(2025, 11, 30, 9, 15)
+
+
+@pytest.fixture(scope="module")
+def fact(spark):
+    return fixture_fact(spark, SF_SMALL, P)
+
+
+@pytest.mark.parametrize("name", list(R.REPORTS))
+def test_write_report_parquet(spark, fact, tmp_path, name):
+    paths = R.write_report(spark, name, fact, P, str(tmp_path), now=NOW)
+    spec = R.REPORTS[name]
+    assert set(paths) == {"Bilgi", *[s.name for s in spec.sheets]}
+    table = R.report_table(name, fact, P)
+    for sheet in spec.sheets:
+        got = spark.read.parquet(paths[sheet.name])
+        assert got.count() == table.where(table.sayfa == sheet.name).count(), sheet.name
+    info = spark.read.parquet(paths["Bilgi"]).first().asDict()
+    assert info["tarih"] == "2025-11-30 09:15" and info["filtre"] == "Tüm Veriler"
+    assert ("rapor" in info) == (spec.title is not None)
+    assert ("min_ciro" in info) == spec.show_floor
+    if spec.show_floor:
+        assert info["min_ciro"] == "₺10,000"
+
+
+def test_write_report_csv_and_empty(spark, fact, tmp_path):
+    s = Selection(sm="NO SUCH REGION")
+    paths = R.write_report(spark, "urun_grubu", fact, P, str(tmp_path), selection=s,
+                           fmt="csv", now=NOW)
+    df = spark.read.option("header", True).csv(paths["En Kötü 20"])
+    assert df.count() == 0
+    info = spark.read.option("header", True).csv(paths["Bilgi"]).first()
+    assert info.filtre == "SM: NO SUCH REGION"
+
+
+def test_sheet_slug():
+    assert R.sheet_slug("En Kötü 20") == "en_kotu_20"
+    assert R.sheet_slug("Mal Grubu - Kayıp") == "mal_grubu_kayip"
+    assert R.sheet_slug("En İyi 50") == "en_iyi_50"
