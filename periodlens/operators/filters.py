@@ -77,7 +77,7 @@ class Selection:
 
 def non_empty(df: DataFrame, key: str) -> DataFrame:
     """FLT-9: drop rows whose group key is '' or missing."""
-    return df.where(F.col(key) != F.lit(""))
+    return df.where(f"`{key}` != ''")
 
 
 def key_equals(df: DataFrame, key: str, value: str) -> DataFrame:

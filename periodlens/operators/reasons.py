@@ -66,26 +66,33 @@ def _in(df: DataFrame, name: str) -> Column:
     return nz(name) if name in df.columns else F.lit(0.0)
 
 
+def _in_sql(df: DataFrame, name: str) -> str:
+    return f"coalesce(`{name}`, 0D)" if name in df.columns else "0D"
+
+
 def reason_rule(df: DataFrame, t: ReasonThresholds = ReasonThresholds()) -> Column:
-    """RSN-1 rule number (1..7), first match wins."""
-    marj, adet, fire = _in(df, "marj_deg"), _in(df, "adet_deg"), _in(df, "fire_deg")
-    return (F.when(fire > t.fire_critical, 1)
-             .when((adet < t.adet_drop) & (fire < t.fire_low), 2)
-             .when((adet < t.adet_drop_stock) & (fire > t.fire_high), 3)
-             .when(marj < t.marj_drop, 4)
-             .when(adet > t.adet_rise, 5)
-             .when(adet < t.adet_fall, 6)
-             .otherwise(7))
+    """RSN-1 rule number (1..7), first match wins. One CASE expression with
+    the thresholds as numeric constants."""
+    marj, adet, fire = (_in_sql(df, c) for c in ("marj_deg", "adet_deg", "fire_deg"))
+    v = {k: repr(float(x)) + "D" for k, x in vars(t).items()}
+    return F.expr(
+        f"CASE WHEN {fire} > {v['fire_critical']} THEN 1"
+        f" WHEN {adet} < {v['adet_drop']} AND {fire} < {v['fire_low']} THEN 2"
+        f" WHEN {adet} < {v['adet_drop_stock']} AND {fire} > {v['fire_high']} THEN 3"
+        f" WHEN {marj} < {v['marj_drop']} THEN 4"
+        f" WHEN {adet} > {v['adet_rise']} THEN 5"
+        f" WHEN {adet} < {v['adet_fall']} THEN 6"
+        f" ELSE 7 END")
 
 
 def with_reason(df: DataFrame, t: ReasonThresholds = ReasonThresholds()) -> DataFrame:
-    """Adds ``neden_kod``, ``neden``, ``aksiyon``, ``renk``."""
+    """Adds ``neden_kod``, ``neden``, ``aksiyon``, ``renk`` in one projection
+    (the rule is a common subexpression, evaluated once per row)."""
     arrays = [F.array(*[F.lit(row[i]) for row in PERFORMANCE_TEXTS]) for i in range(3)]
     kod = reason_rule(df, t)
-    return (df.withColumn("neden_kod", kod)
-              .withColumn("neden", F.element_at(arrays[0], F.col("neden_kod")))
-              .withColumn("aksiyon", F.element_at(arrays[1], F.col("neden_kod")))
-              .withColumn("renk", F.element_at(arrays[2], F.col("neden_kod"))))
+    return df.select("*", kod.alias("neden_kod"),
+                     *[F.element_at(a, kod).alias(n)
+                       for a, n in zip(arrays, ("neden", "aksiyon", "renk"))])
 
 
 def _money(x: Column) -> Column:

@@ -38,17 +38,35 @@ def measure_value(name: str) -> Column:
     return F.abs(F.col(src)) if absolute else F.col(src)
 
 
+def _value_sql(name: str) -> str:
+    src, absolute = MEASURE_SOURCES[name]
+    return f"abs(`{src}`)" if absolute else f"`{src}`"
+
+
+def _case_sql(name: str, year: int, otherwise: str | None = "0") -> str:
+    tail = f" ELSE {otherwise}" if otherwise is not None else ""
+    return f"CASE WHEN `{PERIOD}` = {int(year)} THEN {_value_sql(name)}{tail} END"
+
+
+# Expressions are written as SQL text over fixed identifiers and integer
+# years (no user value is spliced in): one call per expression keeps plan
+# construction cheap next to the many column-builder calls it replaces.
+
+def exact_period_sum(name: str, year: int) -> Column:
+    """``SUM(CASE WHEN yil = year THEN m ELSE 0 END)`` in the input type."""
+    return F.expr(f"sum({_case_sql(name, year)})")
+
+
 def period_sum(name: str, year: int) -> Column:
     """AGG-3/4: ``SUM(CASE WHEN yil = year THEN m ELSE 0 END)`` as double.
     The sum itself runs in the input type (exact for decimals)."""
-    v = F.when(F.col(PERIOD) == F.lit(year), measure_value(name)).otherwise(F.lit(0))
-    return F.sum(v).cast("double")
+    return F.expr(f"CAST(sum({_case_sql(name, year)}) AS DOUBLE)")
 
 
 def in_periods(fact: DataFrame, periods: Periods) -> DataFrame:
     """Keep the two periods only; on a ``partitionBy('yil')`` source this is
     partition pruning, a third year never reaches the sums (E16)."""
-    return fact.where(F.col(PERIOD).isin(*periods.years))
+    return fact.where(f"`{PERIOD}` IN ({int(periods.prev)}, {int(periods.cur)})")
 
 
 def _sum_columns(measures: Sequence[str], periods: Periods,
@@ -78,12 +96,11 @@ def two_period(fact: DataFrame, keys: str | Sequence[str], labels: Sequence[str]
     by = [dim(k).alias(k) for k in keys]
     if not labels:
         return src.groupBy(*by).agg(*[period_sum(m, y).alias(n) for n, m, y in cols])
-    exact = [F.sum(F.when(F.col(PERIOD) == F.lit(y), measure_value(m)).otherwise(F.lit(0)))
-             .alias(n) for n, m, y in cols]
+    exact = [exact_period_sum(m, y).alias(n) for n, m, y in cols]
     partial = src.groupBy(*by, *[dim(lbl).alias(lbl) for lbl in labels]).agg(*exact)
     return partial.groupBy(*keys).agg(
-        *[F.max(lbl).alias(lbl) for lbl in labels],
-        *[F.sum(n).cast("double").alias(n) for n, _, _ in cols])
+        *[F.expr(f"max(`{lbl}`)").alias(lbl) for lbl in labels],
+        *[F.expr(f"CAST(sum(`{n}`) AS DOUBLE)").alias(n) for n, _, _ in cols])
 
 
 def period_totals(fact: DataFrame, measures: Sequence[str], periods: Periods) -> DataFrame:
@@ -93,6 +110,7 @@ def period_totals(fact: DataFrame, measures: Sequence[str], periods: Periods) ->
     aggs = []
     for m in measures:
         for tag, year in (("prev", periods.prev), ("cur", periods.cur)):
-            v = F.when(F.col(PERIOD) == F.lit(year), measure_value(m))
-            aggs.append(F.coalesce(F.sum(v).cast("double"), F.lit(0.0)).alias(f"{m}_{tag}"))
+            case = _case_sql(m, year, otherwise=None)
+            aggs.append(F.expr(f"coalesce(CAST(sum({case}) AS DOUBLE), CAST(0 AS DOUBLE))")
+                        .alias(f"{m}_{tag}"))
     return in_periods(fact, periods).agg(*aggs)

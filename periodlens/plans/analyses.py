@@ -62,15 +62,23 @@ SPECS = {
 }
 
 
-def add_margin_columns(df: DataFrame, oran_fark: bool) -> DataFrame:
-    """DRV-3..5 on margin: difference, % change, margin ratio per period."""
-    df = (df.withColumn("marj_fark", diff("marj_prev", "marj_cur"))
-            .withColumn("marj_deg", pct_change("marj_prev", "marj_cur"))
-            .withColumn("marj_oran_prev", ratio_pct("marj_prev", "ciro_prev"))
-            .withColumn("marj_oran_cur", ratio_pct("marj_cur", "ciro_cur")))
+def margin_columns(oran_fark: bool) -> list[Column]:
+    """DRV-3..5 on margin: difference, % change, margin ratio per period and
+    (optionally) the ratio change in points."""
+    cols = [diff("marj_prev", "marj_cur").alias("marj_fark"),
+            pct_change("marj_prev", "marj_cur").alias("marj_deg"),
+            ratio_pct("marj_prev", "ciro_prev").alias("marj_oran_prev"),
+            ratio_pct("marj_cur", "ciro_cur").alias("marj_oran_cur")]
     if oran_fark:
-        df = df.withColumn("marj_oran_fark", diff("marj_oran_prev", "marj_oran_cur"))
-    return df
+        cols.append(F.expr(
+            "CASE WHEN ciro_cur > 0 THEN marj_cur / ciro_cur * 100 ELSE CAST(0.0 AS DOUBLE) END"
+            " - CASE WHEN ciro_prev > 0 THEN marj_prev / ciro_prev * 100"
+            " ELSE CAST(0.0 AS DOUBLE) END").alias("marj_oran_fark"))
+    return cols
+
+
+def add_margin_columns(df: DataFrame, oran_fark: bool) -> DataFrame:
+    return df.select("*", *margin_columns(oran_fark))
 
 
 def analyze(fact: DataFrame, spec: AnalysisSpec, periods: Periods,
@@ -84,11 +92,10 @@ def analyze(fact: DataFrame, spec: AnalysisSpec, periods: Periods,
         out = out.where(F.col("adet_cur") >= F.lit(float(min_adet)))
     if spec.having is not None:
         out = out.where(spec.having())
-    for m in spec.deg:
-        out = out.withColumn(f"{m}_deg", pct_change(f"{m}_prev", f"{m}_cur"))
+    derived = [pct_change(f"{m}_prev", f"{m}_cur").alias(f"{m}_deg") for m in spec.deg]
     if spec.margin:
-        out = add_margin_columns(out, spec.oran_fark)
-    return out
+        derived += margin_columns(spec.oran_fark)
+    return out.select("*", *derived) if derived else out
 
 
 # --- named analyses --------------------------------------------------------
@@ -164,9 +171,8 @@ KPI_INVERSE = {"adet": False, "ciro": False, "marj": False, "fire": True}
 def kpi_summary(fact: DataFrame, periods: Periods, selection=Selection()) -> DataFrame:
     """Q-1: one row, totals per period (missing -> 0) and % change."""
     out = period_totals(selection.apply(fact), KPI_MEASURES, periods)
-    for m in KPI_MEASURES:
-        out = out.withColumn(f"{m}_degisim", pct_change(f"{m}_prev", f"{m}_cur"))
-    return out
+    return out.select("*", *[pct_change(f"{m}_prev", f"{m}_cur").alias(f"{m}_degisim")
+                             for m in KPI_MEASURES])
 
 
 def kpi_trend(fact: DataFrame, periods: Periods, selection=Selection()) -> DataFrame:

@@ -41,22 +41,22 @@ class DrillSpec:
     non_empty_child: bool = False
 
 
+def _deg_cols(no_base: float, ms) -> list:
+    return [pct_change(f"{m}_prev", f"{m}_cur", no_base).alias(f"{m}_deg") for m in ms]
+
+
 def _deg(no_base: float, *ms: str):
-    def f(df):
-        for m in ms:
-            df = df.withColumn(f"{m}_deg", pct_change(f"{m}_prev", f"{m}_cur", no_base))
-        return df
-    return f
+    return lambda df: df.select("*", *_deg_cols(no_base, ms))
 
 
 def _fark_deg(no_base: float, *ms: str):
-    deg = _deg(no_base, *ms)
-    return lambda df: deg(df.withColumn("adet_fark", diff("adet_prev", "adet_cur")))
+    return lambda df: df.select("*", diff("adet_prev", "adet_cur").alias("adet_fark"),
+                                *_deg_cols(no_base, ms))
 
 
 def _margin(df):
-    return (df.withColumn("marj_fark", diff("marj_prev", "marj_cur"))
-              .withColumn("marj_deg", pct_change("marj_prev", "marj_cur")))
+    return df.select("*", diff("marj_prev", "marj_cur").alias("marj_fark"),
+                     pct_change("marj_prev", "marj_cur").alias("marj_deg"))
 
 
 def falling_spec(parent: str, n: int = 5) -> DrillSpec:

@@ -84,7 +84,7 @@ def dim(name: str) -> Column:
     predicates compare with non-empty literals (where null and '' behave the
     same), so equality filters stay plain column comparisons that the
     parquet reader can use."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.expr(f"coalesce(`{name}`, '')")
 
 
 def normalise(df: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Python call-site capture for error messages costs several driver-to-JVM
+    # calls per column function while a plan is built; a debugging aid only.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -78,11 +78,18 @@ def register(fact: DataFrame, name: str = "veri") -> DataFrame:
 class FactCache:
     """SRC-5: keep the loaded fact for reuse, reloaded after ``ttl_seconds``
     or on ``refresh()``. Blocks are MEMORY_AND_DISK and lineage-backed: a lost
-    executor's blocks are recomputed from the source files."""
+    executor's blocks are recomputed from the source files.
+
+    An input read as fewer partitions than the cluster has cores (a small
+    fact in a few files) is spread round-robin over all cores before it is
+    kept, so every later scan of it runs on all cores. A large fact already
+    has far more input splits than cores and is kept as read."""
 
     def __init__(self, loader, ttl_seconds: float = 86400.0,
-                 level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+                 level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+                 spread: bool = True):
         self._loader, self._ttl, self._level = loader, ttl_seconds, level
+        self._spread = spread
         self._df: DataFrame | None = None
         self._at = 0.0
 
@@ -94,6 +101,11 @@ class FactCache:
     def refresh(self) -> DataFrame:
         if self._df is not None:
             self._df.unpersist()
-        self._df = self._loader().persist(self._level)
+        df = self._loader()
+        if self._spread:
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+        self._df = df.persist(self._level)
         self._at = time.monotonic()
         return self._df
