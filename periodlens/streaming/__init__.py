@@ -1,0 +1,3 @@
+from .ingest import LANDING_SCHEMA, refresh, start_ingest
+
+__all__ = ["LANDING_SCHEMA", "refresh", "start_ingest"]

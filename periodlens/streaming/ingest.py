@@ -1,0 +1,61 @@
+"""Incremental refresh of the period fact (SRC-5 as a stream).
+
+The reference reloads its period files at most once a day; the files change
+monthly. Here newly landed sales files are appended to the
+``partitionBy('yil')`` fact by a Structured Streaming query: the file source
+remembers which files it has read in the checkpoint, so every file is added
+exactly once, and a run with the ``availableNow`` trigger processes what has
+landed and stops (a scheduled refresh), while a processing-time trigger keeps
+it running. No state is kept beyond the file log: the analyses read the fact
+folder as a batch source afterwards.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..schema import DIMENSIONS, MEASURES, PERIOD, normalise
+from ..session import shared_dir
+
+# Landing files carry the reference's columns; the period column is part of
+# each file. Names match case-insensitively (the reference writes ``Magaza_Kod``).
+LANDING_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType(), True) for c in DIMENSIONS]
+    + [T.StructField(PERIOD, T.IntegerType(), True)]
+    + [T.StructField(m, T.DoubleType(), True) for m in MEASURES]
+)
+
+
+def start_ingest(spark: SparkSession, landing_dir: str, fact_dir: str,
+                 checkpoint: str | None = None, schema: T.StructType = LANDING_SCHEMA,
+                 once: bool = True, interval: str = "1 hour",
+                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start appending landed parquet files to the period fact.
+
+    ``checkpoint`` defaults to a folder under ``spark.checkpoint.dir``; it
+    must stay with the fact folder for exactly-once appends."""
+    checkpoint = checkpoint or os.path.join(shared_dir(spark), "ingest",
+                                            os.path.basename(fact_dir.rstrip("/")))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    rows = normalise(reader.parquet(landing_dir))
+    writer = (rows.writeStream.format("parquet").outputMode("append")
+              .option("path", fact_dir).option("checkpointLocation", checkpoint)
+              .partitionBy(PERIOD))
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(
+        processingTime=interval)
+    return writer.start()
+
+
+def refresh(spark: SparkSession, landing_dir: str, fact_dir: str,
+            checkpoint: str | None = None, **kw) -> int:
+    """Run one ``availableNow`` refresh to the end; returns the number of
+    rows appended."""
+    q = start_ingest(spark, landing_dir, fact_dir, checkpoint, once=True, **kw)
+    q.awaitTermination()
+    return sum(p.get("numInputRows", 0) for p in q.recentProgress)
