@@ -213,6 +213,20 @@ for _name, _child, _labels in (("stores_top_margin", "magaza_kod", O.STORE_LABEL
                      largest=True, n=10))(
             lambda f, nm=_name, k=_key: D.named(nm, f, P, k))
 
+_reg("stores_falling_all_products_named",
+     "SELECT f.*, p.urun_ad, substring(coalesce(p.urun_ad, f.urun_kod), 1, 30) || '...' "
+     f"AS baslik FROM ({O.falling('urun_kod', None)}) f LEFT JOIN ({O.analysis('urun')}) p "
+     "ON f.urun_kod = p.urun_kod")(
+    lambda f: D.with_product_names(D.falling_stores(f, P, "urun_kod"),
+                                   A.product_analysis(f, P)))
+_reg("product_name_lookup",
+     f"SELECT urun_kod, urun_ad FROM ({O.analysis('urun_adet')}) u WHERE urun_kod = {O.q(UK)}")(
+    lambda f: D.product_name(A.products_by_units(f, P), UK))
+_reg("kpi_by_year",
+     "SELECT yil, CAST(SUM(adet) AS DOUBLE) AS adet, CAST(SUM(ciro) AS DOUBLE) AS ciro, "
+     "CAST(SUM(marj) AS DOUBLE) AS marj, CAST(SUM(ABS(fire)) AS DOUBLE) AS fire FROM veri "
+     "WHERE yil IN (1999, 2000) GROUP BY yil")(lambda f: A.totals_by_period(f, P))
+
 # --- text and direction columns ---------------------------------------------------
 
 _reg("product_short_labels",

@@ -18,8 +18,9 @@ from ..functions.measures import diff, kpi_polarity, pct_change, ratio_pct
 from ..operators.filters import Selection, non_empty
 from ..operators.ranking import top_n
 from ..operators.reasons import with_reason
-from ..operators.two_period import period_totals, two_period
+from ..operators.two_period import in_periods, period_totals, two_period
 from ..params import Periods
+from ..schema import PERIOD
 
 BASIC = ("adet", "ciro", "marj", "fire")
 MARGIN = ("marj", "ciro", "adet", "fire", "envanter", "kampanya")
@@ -187,6 +188,16 @@ def kpi_trend(fact: DataFrame, periods: Periods, selection=Selection()) -> DataF
     return s.select(rows.alias("k")).select("k.*")
 
 
+def totals_by_period(fact: DataFrame, periods: Periods, selection=Selection(),
+                     measures=KPI_MEASURES) -> DataFrame:
+    """AGG-1/2 as the reference's statements return them: one row per period
+    with ``SUM(m)`` (``SUM(ABS(m))`` for the signed measures)."""
+    from ..operators.two_period import _value_sql
+    src = in_periods(selection.apply(fact), periods)
+    return src.groupBy(PERIOD).agg(*[F.expr(f"CAST(sum({_value_sql(m)}) AS DOUBLE)").alias(m)
+                                     for m in measures])
+
+
 def margin_kpi(fact: DataFrame, periods: Periods, selection=Selection()) -> DataFrame:
     """Q-21: margin and revenue per period, difference, % change, ratios and
     the ratio change in points."""

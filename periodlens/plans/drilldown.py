@@ -160,3 +160,24 @@ def falling_stores(fact, periods, parent: str, key: str | None = None,
 def rising_stores(fact, periods, parent: str, key: str | None = None,
                   selection: Selection = Selection(), n: int = 5) -> DataFrame:
     return drilldown(fact, periods, parent, rising_spec(parent, n), key, selection)
+
+
+def product_name(products: DataFrame, code: str) -> DataFrame:
+    """FLT-20, keyed: the name of one product code from an earlier product
+    result (``urun_kod``, ``urun_ad``)."""
+    return products.where(F.col("urun_kod") == F.lit(code)).select("urun_kod", "urun_ad")
+
+
+def with_product_names(rows: DataFrame, products: DataFrame, heading: int = 30) -> DataFrame:
+    """FLT-20, batch: drill-down rows keyed by ``urun_kod`` get the product
+    name from an earlier product result (left join; the name falls back to
+    the code) and the heading text (name cut at ``heading`` + '...').
+
+    Both sides are key-grain results already hash-partitioned on
+    ``urun_kod`` by their own aggregates; no broadcast hint is given, the
+    planner checks the product side's size (it grows with the catalogue)."""
+    names = products.select("urun_kod", "urun_ad")
+    out = rows.join(names, on="urun_kod", how="left")
+    return out.select("*", F.expr(
+        f"concat(substring(coalesce(urun_ad, urun_kod), 1, {int(heading)}), '...')")
+        .alias("baslik"))
