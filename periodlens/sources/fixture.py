@@ -86,4 +86,15 @@ def fixture_fact(spark: SparkSession, sf_dir: str,
          .otherwise(-price * F.lit(Decimal("0.05"))).alias("envanter"),
         (-price * disc).alias("kampanya_zarar"),
     )
+    # Exact values need at most 18 digits at these scales; a decimal of
+    # precision <= 18 is held as a long, and its sums stay on long arithmetic
+    # while they fit (wider products of decimals would sum as BigDecimal).
+    # With ANSI mode an out-of-range value raises instead of being cut.
+    fact = fact.select(*[F.col(c).cast(NARROW[c]).alias(c) if c in NARROW else F.col(c)
+                         for c in fact.columns])
     return normalise(fact)
+
+
+NARROW = {"adet": "decimal(18,2)", "ciro": "decimal(18,4)", "marj": "decimal(18,5)",
+          "fire": "decimal(18,4)", "envanter": "decimal(18,4)",
+          "kampanya_zarar": "decimal(18,4)"}
