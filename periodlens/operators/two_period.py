@@ -80,22 +80,34 @@ def _sum_columns(measures: Sequence[str], periods: Periods,
 
 def two_period(fact: DataFrame, keys: str | Sequence[str], labels: Sequence[str],
                measures: Sequence[str], periods: Periods,
-               cur_only: Sequence[str] = ()) -> DataFrame:
+               cur_only: Sequence[str] = (), label_fold: str = "hash") -> DataFrame:
     """Key(s), ``max(label)`` (AGG-5), ``<m>_prev`` and ``<m>_cur`` for each
     measure, ``<m>_cur`` only for ``cur_only``.
 
-    ``max`` over a string has no fixed-width buffer, so an aggregate holding it
-    is planned as a sort-based aggregate that sorts every input row. With
-    labels the sums therefore run first as a hash aggregate grouped by
-    (keys, labels); the labels are folded with ``max`` in a second aggregate
-    over those key-grain rows. The result equals the one-step form: sums of
-    partial sums, the max over distinct labels is the max over rows."""
+    ``max`` over a string has no fixed-width buffer, so an aggregate holding
+    it is planned as a sort-based aggregate, which sorts its input rows in
+    every map task. Two forms, equal in result (sums of partial sums; the max
+    over distinct labels is the max over rows):
+
+    - ``label_fold="hash"``: the sums run as a hash aggregate grouped by
+      (keys, labels); the labels are folded with ``max`` in a second aggregate
+      over those key-grain rows. For a key much coarser than the fact (groups,
+      product groups, products, stores) the second exchange is small and the
+      pass over the fact never sorts.
+    - ``label_fold="sort"``: one aggregate, one exchange. For keys nearly as
+      fine as the fact (a parent and a store, a product and a store) the hash
+      form would shuffle almost every row twice; one sort-based pass is
+      cheaper there."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = _sum_columns(measures, periods, cur_only)
     src = in_periods(fact, periods)
     by = [dim(k).alias(k) for k in keys]
-    if not labels:
-        return src.groupBy(*by).agg(*[period_sum(m, y).alias(n) for n, m, y in cols])
+    if not labels or label_fold == "sort":
+        return src.groupBy(*by).agg(
+            *[F.expr(f"max(coalesce(`{lbl}`, ''))").alias(lbl) for lbl in labels],
+            *[period_sum(m, y).alias(n) for n, m, y in cols])
+    if label_fold != "hash":
+        raise ValueError(f"label_fold must be 'hash' or 'sort', not {label_fold!r}")
     exact = [exact_period_sum(m, y).alias(n) for n, m, y in cols]
     partial = src.groupBy(*by, *[dim(lbl).alias(lbl) for lbl in labels]).agg(*exact)
     return partial.groupBy(*keys).agg(
