@@ -12,13 +12,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.filters import Selection
 from ..operators.reasons import with_reason
+from ..operators.two_period import MEASURE_SOURCES, _value_sql, in_periods
 from ..params import Periods
+from ..schema import PERIOD, dim
 from . import analyses as A
 
+# Every page analysis keys on the product hierarchy (or on nothing).
+PRODUCT_GRAIN = ("urun_kod", "urun_ad", "mal_grubu", "ust_mal", "urun_grubu")
+
 PAGE_ANALYSES: dict[str, Callable[[DataFrame, Periods, Selection], DataFrame]] = {
     "ozet": A.kpi_summary,                                              # Q-1
     "mal_grubu": lambda f, p, s: with_reason(A.group_analysis(f, p, s)),        # Q-2
@@ -32,21 +39,51 @@ PAGE_ANALYSES: dict[str, Callable[[DataFrame, Periods, Selection], DataFrame]] =
 }
 
 
-def page(fact: DataFrame, periods: Periods,
-         selection: Selection = Selection()) -> dict[str, DataFrame]:
-    """The nine analyses as lazy DataFrames."""
+def product_base(fact: DataFrame, periods: Periods,
+                 selection: Selection = Selection()) -> DataFrame:
+    """The selected fact summed per product, its labels and period, in the
+    fact's own columns (signed measures as sums of ABS, so the analyses'
+    ABS leaves them as they are). Every page analysis gives the same result
+    on it as on the fact: its sums are sums of these partial sums, and the
+    max of a label over distinct values is the max over rows. One partial +
+    final aggregate; the rows left are products x periods."""
+    src = in_periods(selection.apply(fact), periods)
+    return src.groupBy(*[dim(c).alias(c) for c in PRODUCT_GRAIN], PERIOD).agg(
+        *[F.expr(f"sum({_value_sql(name)})").alias(col)
+          for name, (col, _) in MEASURE_SOURCES.items()])
+
+
+def page(fact: DataFrame, periods: Periods, selection: Selection = Selection(),
+         base: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The nine analyses as lazy DataFrames, over ``base`` (a product base
+    of this fact and selection) when given."""
+    if base is not None:
+        fact, selection = base, Selection(min_ciro=selection.min_ciro)
     return {name: fn(fact, periods, selection) for name, fn in PAGE_ANALYSES.items()}
 
 
 def run_page(fact: DataFrame, periods: Periods, sink: Callable[[str, DataFrame], object],
-             selection: Selection = Selection(), parallel: int = 4) -> dict[str, object]:
+             selection: Selection = Selection(), parallel: int = 4,
+             shared_base: bool = True) -> dict[str, object]:
     """Run every analysis of a pass through ``sink(name, df)`` (for example a
     write to a results folder), up to ``parallel`` jobs at a time. Returns
-    what each sink call returned."""
-    plans = page(fact, periods, selection)
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = {name: pool.submit(sink, name, df) for name, df in plans.items()}
-        return {name: f.result() for name, f in futures.items()}
+    what each sink call returned.
+
+    With ``shared_base`` the fact is read and shuffled once, into the product
+    base (kept MEMORY_AND_DISK for the pass, lineage-backed), and the nine
+    analyses aggregate that instead of the fact."""
+    base = None
+    if shared_base:
+        base = product_base(fact, periods, selection).persist(StorageLevel.MEMORY_AND_DISK)
+        base.count()
+    try:
+        plans = page(fact, periods, selection, base)
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            futures = {name: pool.submit(sink, name, df) for name, df in plans.items()}
+            return {name: f.result() for name, f in futures.items()}
+    finally:
+        if base is not None:
+            base.unpersist()
 
 
 def write_page(fact: DataFrame, periods: Periods, out: str,

@@ -100,3 +100,19 @@ def test_fixture_counts(spark):
     assert f.count() == 1782
     assert distinct_values(f, "mal_grubu").count() == 149
     assert distinct_values(f, "urun_kod").count() == 200
+
+
+def test_page_on_product_base_equals_page_on_fact(gen_fact, mkfact):
+    from periodlens.plans.page import page, product_base, run_page
+    extra = normalise(mkfact([dict(mal_grubu="", urun_kod="", adet=3.0),
+                              dict(urun_kod="PX", adet=None, ciro=None),
+                              dict(yil=2023, urun_kod="OLD", adet=9.0),
+                              dict(urun_ad=None, urun_kod="P1", adet=1.0)]))
+    fact = gen_fact.unionByName(extra)
+    for sel in (Selection(min_ciro=0), Selection(sm="S1", min_ciro=100)):
+        base = product_base(fact, P, sel)
+        a, b = page(fact, P, sel), page(fact, P, sel, base)
+        for k in a:
+            assert sorted(map(tuple, a[k].collect())) == sorted(map(tuple, b[k].collect())), k
+    got = run_page(fact, P, lambda name, df: df.count(), NOF, parallel=3)
+    assert got == {k: v.count() for k, v in page(fact, P, NOF).items()}
