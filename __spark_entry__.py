@@ -227,6 +227,20 @@ _reg("kpi_by_year",
      "CAST(SUM(marj) AS DOUBLE) AS marj, CAST(SUM(ABS(fire)) AS DOUBLE) AS fire FROM veri "
      "WHERE yil IN (1999, 2000) GROUP BY yil")(lambda f: A.totals_by_period(f, P))
 
+# Every selector (FLT-1..7) against the oracle.
+_reg("kpi_summary_filtered_bs", O.kpi_summary(_eq(bs=BS)))(
+    lambda f: A.kpi_summary(f, P, Selection(bs=BS)))
+_reg("urun_analysis_filtered_store", O.analysis("urun", _eq(magaza_kod="1"), min_ciro=0))(
+    lambda f: A.product_analysis(f, P, Selection(magaza="1", min_ciro=0)))
+_reg("mal_grubu_analysis_filtered_product",
+     O.analysis("mal_grubu", _eq(urun_grubu=UG, ust_mal=UST), min_ciro=0))(
+    lambda f: A.group_analysis(f, P, Selection(urun_grubu=UG, ust_mal=UST, min_ciro=0)))
+_reg("margin_by_product_filtered_group",
+     O.analysis("marj_urun", _eq(mal_grubu=MG, sm="ASIA"), min_ciro=0))(
+    lambda f: A.product_margin(f, P, Selection(mal_grubu=MG, sm="ASIA", min_ciro=0)))
+_reg("stores_rising_by_ug_filtered", O.rising("urun_grubu", UG, conds=_eq(bs=BS)))(
+    lambda f: D.rising_stores(f, P, "urun_grubu", UG, Selection(bs=BS)))
+
 # --- text and direction columns ---------------------------------------------------
 
 _reg("product_short_labels",
