@@ -85,7 +85,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "4"))
     reps = int(os.environ.get("BENCH_REPS", "5"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=2 * cpus,
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": "8g"})
     out: dict[str, float] = {}
 

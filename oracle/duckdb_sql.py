@@ -241,8 +241,13 @@ def kpi_trend(conds=()) -> str:
     for i, m in enumerate(BASIC):
         yon = (f"CASE WHEN ({m}_degisim > 0) = {str(inverse[m]).upper()} THEN 'down' "
                f"ELSE 'up' END")
+        value = (f"printf('%,.0f', {m}_cur)" if m == "adet"
+                 else f"'₺' || printf('%,.0f', {m}_cur)")
+        change = (f"CASE WHEN {m}_degisim > 0 THEN '+' ELSE '' END || "
+                  f"printf('%.1f', {m}_degisim) || '%'")
         parts.append(f"SELECT {i + 1} AS sira, {q(m)} AS metrik, {m}_cur AS deger, "
-                     f"{m}_degisim AS degisim, {yon} AS yon FROM s")
+                     f"{m}_degisim AS degisim, {yon} AS yon, {value} AS deger_metin, "
+                     f"{change} AS degisim_metin FROM s")
     return "s AS (" + kpi_summary(conds) + ")", " UNION ALL ".join(parts)
 
 

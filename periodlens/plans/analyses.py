@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import diff, kpi_polarity, pct_change, ratio_pct
+from ..functions.text import fixed, money, thousands
 from ..operators.filters import Selection, non_empty
 from ..operators.ranking import top_n
 from ..operators.reasons import with_reason
@@ -177,14 +178,21 @@ def kpi_summary(fact: DataFrame, periods: Periods, selection=Selection()) -> Dat
 
 
 def kpi_trend(fact: DataFrame, periods: Periods, selection=Selection()) -> DataFrame:
-    """Q-1 as cards: one row per measure with current value, change and the
-    DRV-8 direction (rise good, except waste)."""
+    """Q-1 as cards: one row per measure with current value, change, the
+    DRV-8 direction (rise good, except waste) and the card texts (value
+    ``{:,.0f}``, money with the currency sign; change with '+' only above 0)."""
     s = kpi_summary(fact, periods, selection)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(i + 1).alias("sira"), F.lit(m).alias("metrik"),
-                 F.col(f"{m}_cur").alias("deger"), F.col(f"{m}_degisim").alias("degisim"),
-                 kpi_polarity(F.col(f"{m}_degisim"), KPI_INVERSE[m]).alias("yon"))
-        for i, m in enumerate(KPI_MEASURES)]))
+
+    def card(i, m):
+        deger, deg = F.col(f"{m}_cur"), F.col(f"{m}_degisim")
+        value = thousands(deger) if m == "adet" else money(deger)
+        change = F.concat(F.when(deg > 0, F.lit("+")).otherwise(F.lit("")), fixed(deg, 1),
+                          F.lit("%"))
+        return F.struct(F.lit(i + 1).alias("sira"), F.lit(m).alias("metrik"),
+                        deger.alias("deger"), deg.alias("degisim"),
+                        kpi_polarity(deg, KPI_INVERSE[m]).alias("yon"),
+                        value.alias("deger_metin"), change.alias("degisim_metin"))
+    rows = F.explode(F.array(*[card(i, m) for i, m in enumerate(KPI_MEASURES)]))
     return s.select(rows.alias("k")).select("k.*")
 
 
