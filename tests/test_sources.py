@@ -81,3 +81,17 @@ def test_date_ranges():
     assert len(Periods(2022, 2025).date_ranges()) == 2
     with pytest.raises(ValueError):
         Periods(2025, 2025)
+
+
+def test_written_files_sorted_by_product_hierarchy(spark, fact, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    p = str(tmp_path / "fact_sorted")
+    write_periods(fact.repartition(3), p)
+    files = glob.glob(p + "/yil=*/*.parquet")
+    assert files
+    for f in files:
+        t = pq.read_table(f, columns=["urun_grubu", "ust_mal", "mal_grubu", "urun_kod"])
+        rows = list(zip(*[t.column(c).to_pylist() for c in t.column_names]))
+        assert rows == sorted(rows)
