@@ -175,16 +175,23 @@ def _read(spark: SparkSession, path: str, fmt: str, like: DataFrame) -> DataFram
 
 def write_report(spark: SparkSession, name: str, fact: DataFrame, periods: Periods,
                  out: str, selection: Selection = Selection(), fmt: str = "parquet",
-                 now: dt.datetime | None = None) -> dict[str, str]:
+                 now: dt.datetime | None = None,
+                 product_base: DataFrame | None = None) -> dict[str, str]:
     """Write every sheet of a report; returns sheet name -> path. Empty
-    results still get their (empty) datasets with the full schema (RPT-8)."""
+    results still get their (empty) datasets with the full schema (RPT-8).
+
+    ``product_base``: a ``plans.page.product_base`` of this fact and
+    selection; the report tables are then aggregated from it."""
     spec = REPORTS[name]
     base = f"{out.rstrip('/')}/{name}"
     paths = {"Bilgi": f"{base}/bilgi"}
     _write(info_row(spark, name, selection, now), paths["Bilgi"], fmt)
+    src, src_sel = fact, selection
+    if product_base is not None:
+        src, src_sel = product_base, Selection(min_ciro=selection.min_ciro)
     tables: dict[str, DataFrame] = {}
     for tname, tb in spec.tables.items():
-        df = tb.build(fact, periods, selection)
+        df = tb.build(src, periods, src_sel)
         whole = next((s for s in spec.sheets if s.table == tname and s.by is None), None)
         if whole is not None:
             path = f"{base}/{sheet_slug(whole.name)}"
@@ -194,9 +201,34 @@ def write_report(spark: SparkSession, name: str, fact: DataFrame, periods: Perio
         else:
             shared_dir(spark)
             tables[tname] = df.checkpoint(eager=True)
-    for sheet, df in report_sheets(name, fact, periods, selection, tables):
+    for sheet, df in report_sheets(name, src, periods, src_sel, tables):
         if sheet in paths:
             continue
         paths[sheet] = f"{base}/{sheet_slug(sheet)}"
         _write(df, paths[sheet], fmt)
     return paths
+
+
+def write_reports(spark: SparkSession, fact: DataFrame, periods: Periods, out: str,
+                  selection: Selection = Selection(), names=None, fmt: str = "parquet",
+                  now: dt.datetime | None = None, parallel: int = 3) -> dict[str, dict]:
+    """Write several reports (all six by default) from one pass over the
+    fact: every report table keys on the product hierarchy, so they are all
+    aggregated from one product base, kept for the run (MEMORY_AND_DISK,
+    lineage-backed). Reports are written concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+
+    from .page import product_base
+    names = list(names or REPORTS)
+    now = now or dt.datetime.now()
+    pb = product_base(fact, periods, selection).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        pb.count()
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            futs = {n: pool.submit(write_report, spark, n, fact, periods, out, selection, fmt,
+                                   now, pb) for n in names}
+            return {n: f.result() for n, f in futs.items()}
+    finally:
+        pb.unpersist()

@@ -50,3 +50,15 @@ def test_sheet_slug():
     assert R.sheet_slug("En Kötü 20") == "en_kotu_20"
     assert R.sheet_slug("Mal Grubu - Kayıp") == "mal_grubu_kayip"
     assert R.sheet_slug("En İyi 50") == "en_iyi_50"
+
+
+def test_write_reports_from_shared_base(spark, fact, tmp_path):
+    s = Selection(sm="ASIA", min_ciro=5000)
+    shared = R.write_reports(spark, fact, P, str(tmp_path / "a"), s, now=NOW)
+    for name, paths in shared.items():
+        alone = R.write_report(spark, name, fact, P, str(tmp_path / "b"), s, now=NOW)
+        assert set(paths) == set(alone)
+        for sheet in paths:
+            x = sorted(map(tuple, spark.read.parquet(paths[sheet]).collect()))
+            y = sorted(map(tuple, spark.read.parquet(alone[sheet]).collect()))
+            assert x == y, (name, sheet)
