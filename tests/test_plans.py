@@ -11,7 +11,6 @@ import pytest
 import __spark_entry__ as E
 from periodlens import Periods, Selection
 from periodlens.plans import analyses as A
-from periodlens.plans import drilldown as D
 from periodlens.sources import fixture_fact, load_periods, write_periods
 
 from .conftest import SF_SMALL
