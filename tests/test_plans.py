@@ -92,3 +92,10 @@ def test_heavy_aggregate_is_hash_based(spark, fact):
     # key-grain shuffle
     assert p.index("HashAggregate") < p.rindex("Exchange")
     assert "HashAggregate" in p
+
+
+def test_no_broadcast_hints(spark):
+    """Broadcasts come only from Spark's own size checks, never from hints."""
+    for name, fn in E.queries().items():
+        p = plan(fn(spark, SF_SMALL), "extended")
+        assert "ResolvedHint" not in p and "BROADCAST" not in p.upper().split("== PHYSICAL")[0], name
