@@ -52,17 +52,17 @@ CLUSTER_BY = ("urun_grubu", "ust_mal", "mal_grubu", "urun_kod")
 
 
 def write_periods(fact: DataFrame, path: str, mode: str = "overwrite",
-                  cluster_by: tuple[str, ...] | None = CLUSTER_BY) -> None:
+                  cluster_by: tuple[str, ...] | None = CLUSTER_BY, **options) -> None:
     """Write the fact one folder per period (partition pruning on read).
 
     Rows are sorted inside each output file by ``cluster_by`` (a local sort,
     no shuffle), so each parquet row group covers a narrow range of the
     product hierarchy and its min/max statistics let a pushed equality on a
     product group, parent group or merchandise group skip the other row
-    groups."""
+    groups. ``options`` go to the parquet writer (e.g. ``parquet.block.size``)."""
     if cluster_by:
         fact = fact.sortWithinPartitions(PERIOD, *cluster_by)
-    fact.write.mode(mode).partitionBy(PERIOD).parquet(path)
+    fact.write.mode(mode).options(**options).partitionBy(PERIOD).parquet(path)
 
 
 def load_periods(spark: SparkSession, path: str, periods: Periods | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as E
 from periodlens import Periods, Selection
 from periodlens.plans import analyses as A
+from periodlens.plans import drilldown as D
 from periodlens.sources import fixture_fact, load_periods, write_periods
 
 from .conftest import SF_SMALL
@@ -99,3 +100,23 @@ def test_no_broadcast_hints(spark):
     for name, fn in E.queries().items():
         p = plan(fn(spark, SF_SMALL), "extended")
         assert "ResolvedHint" not in p and "BROADCAST" not in p.upper().split("== PHYSICAL")[0], name
+
+
+def test_keyed_drilldown_skips_row_groups(spark, fact, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    path = str(tmp_path / "fact_rg")
+    write_periods(fact, path, **{"parquet.block.size": 8 * 1024})
+    loaded = load_periods(spark, path, Periods(1999, 2000))
+    p = plan(D.falling_stores(loaded, P, "mal_grubu", E.MG))
+    assert f"EqualTo(mal_grubu,{E.MG})" in p
+    total = covering = 0
+    for f in glob.glob(path + "/yil=*/*.parquet"):
+        md = pq.ParquetFile(f).metadata
+        col = md.schema.names.index("mal_grubu")
+        for i in range(md.num_row_groups):
+            st = md.row_group(i).column(col).statistics
+            total += 1
+            covering += st.min <= E.MG <= st.max
+    assert total >= 8 and covering <= max(2, total // 4), (covering, total)
