@@ -26,7 +26,7 @@ from .plans import drilldown as D
 from .plans.page import write_page
 from .plans.reports import write_reports
 from .session import build_session
-from .sources import load_periods, read_period_files
+from .sources import load_periods, read_period_files, write_periods
 
 
 def parse(argv):
@@ -38,6 +38,9 @@ def parse(argv):
     ap.add_argument("--prev", type=int, help="base period (default: the smaller year)")
     ap.add_argument("--cur", type=int, help="current period (default: the larger year)")
     ap.add_argument("--out", required=True)
+    ap.add_argument("--fact-out", help="with --period-file: first write the fact here "
+                    "(one folder per period, rows clustered by the product hierarchy) and "
+                    "run every job from that layout")
     for name in ("sm", "bs", "magaza", "nitelik", "urun-grubu", "ust-mal", "mal-grubu"):
         ap.add_argument(f"--{name}")
     ap.add_argument("--min-ciro", type=float, default=DEFAULT_MIN_CIRO)
@@ -57,6 +60,9 @@ def main(argv=None, spark=None) -> dict:
         years = sorted(paths)
         periods = Periods(a.prev or years[0], a.cur or years[-1])
         fact = read_period_files(spark, paths)
+        if a.fact_out:
+            write_periods(fact, a.fact_out)
+            fact = load_periods(spark, a.fact_out, periods)
     else:
         if a.prev is None or a.cur is None:
             raise SystemExit("--prev and --cur are needed with --fact")

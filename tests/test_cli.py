@@ -19,7 +19,9 @@ def test_cli_page_reports_drilldowns(spark, tmp_path):
              .select(*[F.col(c).alias(REF_NAMES[c]) for c in REF_NAMES]).write.parquet(p))
         args += ["--period-file", f"{y}={p}"]
     out = str(tmp_path / "out")
-    done = main(args + ["--out", out, "--sm", "ASIA", "--min-ciro", "0"], spark=spark)
+    done = main(args + ["--out", out, "--sm", "ASIA", "--min-ciro", "0",
+                        "--fact-out", str(tmp_path / "fact")], spark=spark)
+    assert spark.read.parquet(str(tmp_path / "fact")).count() == fact.count()
     assert set(done) == {"page", "reports", "drilldown"}
     assert len(done["page"]) == 9 and len(done["reports"]) == 6
     g = spark.read.parquet(done["page"]["mal_grubu"])
