@@ -144,7 +144,7 @@ def info_row(spark: SparkSession, name: str, selection: Selection = Selection(),
     now = now or dt.datetime.now()
     row = {"filtre": selection.text()}
     if spec.show_floor:
-        row["min_ciro"] = "₺" + f"{selection.min_ciro:,.0f}"
+        row["min_ciro"] = "₺" + f"{(selection.min_ciro or 0):,.0f}"
     row["tarih"] = now.strftime("%Y-%m-%d %H:%M")
     if spec.title is not None:
         row["rapor"] = spec.title
