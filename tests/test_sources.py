@@ -112,3 +112,10 @@ def test_non_adjacent_periods_scan_two_ranges(spark):
     assert got == want and set(got) == {1996, 2000}
     k = A.kpi_summary(f, pp).first()
     assert k.adet_prev > 0 and k.adet_cur > 0
+
+
+def test_shared_dir_reads_session_setting(spark):
+    from periodlens.session import scratch_path, shared_dir
+    d = shared_dir(spark)
+    assert d == spark.sparkContext.getCheckpointDir()
+    assert scratch_path(spark, "x").startswith(d)
