@@ -1,8 +1,8 @@
 from .fixture import FIXTURE_PERIODS, fixture_fact, period_range_filter
-from .periods import (FactCache, FactLoadError, load_periods, period_counts,
+from .periods import (FactCache, FactFolderError, FactLoadError, folder_kind, load_periods, period_counts,
                       read_period_files, register, write_periods)
 
 __all__ = [
-    "FIXTURE_PERIODS", "fixture_fact", "period_range_filter", "FactCache", "FactLoadError",
+    "FIXTURE_PERIODS", "fixture_fact", "period_range_filter", "FactCache", "FactFolderError", "FactLoadError", "folder_kind",
     "load_periods", "period_counts", "read_period_files", "register", "write_periods",
 ]

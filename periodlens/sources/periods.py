@@ -47,6 +47,30 @@ def read_period_files(spark: SparkSession, paths: Mapping[int, str]) -> DataFram
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def folder_kind(spark: SparkSession, path: str) -> str:
+    """``'absent'``, ``'empty'``, ``'stream'`` (holds a streaming file sink's
+    ``_spark_metadata`` log) or ``'batch'`` (holds data written by a batch job).
+
+    A folder must not mix the two: once the log exists, readers list only the
+    files recorded in it, so batch-written files beside it would be silently
+    left out. One listing of the folder's top level, on the driver."""
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return "absent"
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    if "_spark_metadata" in names:
+        return "stream"
+    data = [n for n in names if not n.startswith(("_", "."))]
+    return "batch" if data else "empty"
+
+
+class FactFolderError(ValueError):
+    """A batch write into a stream-managed fact folder, or the reverse."""
+
+
 # Row order inside each written file: the product hierarchy, coarse to fine.
 CLUSTER_BY = ("urun_grubu", "ust_mal", "mal_grubu", "urun_kod")
 
@@ -60,6 +84,11 @@ def write_periods(fact: DataFrame, path: str, mode: str = "overwrite",
     product hierarchy and its min/max statistics let a pushed equality on a
     product group, parent group or merchandise group skip the other row
     groups. ``options`` go to the parquet writer (e.g. ``parquet.block.size``)."""
+    if folder_kind(fact.sparkSession, path) == "stream":
+        raise FactFolderError(
+            f"{path} is kept by the streaming ingest (readers list only the files in "
+            "its _spark_metadata log); land new files for streaming.refresh, or write "
+            "to a new folder")
     if cluster_by:
         fact = fact.sortWithinPartitions(PERIOD, *cluster_by)
     fact.write.mode(mode).options(**options).partitionBy(PERIOD).parquet(path)

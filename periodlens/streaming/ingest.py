@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import DIMENSIONS, MEASURES, PERIOD, normalise
 from ..session import shared_dir
+from ..sources.periods import FactFolderError, folder_kind
 
 # Landing files carry the reference's columns; the period column is part of
 # each file. Names match case-insensitively (the reference writes ``Magaza_Kod``).
@@ -37,7 +38,16 @@ def start_ingest(spark: SparkSession, landing_dir: str, fact_dir: str,
     """Start appending landed parquet files to the period fact.
 
     ``checkpoint`` defaults to a folder under ``spark.checkpoint.dir``; it
-    must stay with the fact folder for exactly-once appends."""
+    must stay with the fact folder for exactly-once appends. The fact folder
+    must be new or already kept by this ingest: once the sink's log exists,
+    readers list only the files in it, so a folder written by a batch job
+    (``write_periods``) is refused rather than partly hidden. To start from
+    existing period files, land them in ``landing_dir`` first."""
+    if folder_kind(spark, fact_dir) == "batch":
+        raise FactFolderError(
+            f"{fact_dir} holds batch-written data, which a streaming sink would hide "
+            "from readers; land those files in the landing folder and ingest into a "
+            "new folder")
     checkpoint = checkpoint or os.path.join(shared_dir(spark), "ingest",
                                             os.path.basename(fact_dir.rstrip("/")))
     reader = spark.readStream.schema(schema)

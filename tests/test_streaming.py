@@ -30,3 +30,32 @@ def test_refresh_appends_each_file_once(spark, tmp_path):
     got = A.kpi_summary(loaded, P).first()
     want = A.kpi_summary(fact, P).first()
     assert abs(got.ciro_cur - want.ciro_cur) < 1e-6 * abs(want.ciro_cur)
+
+
+def test_batch_and_stream_folders_do_not_mix(spark, tmp_path):
+    import pytest
+
+    from periodlens.sources import FactFolderError, folder_kind, write_periods
+
+    fact = fixture_fact(spark, SF_SMALL, P).select(
+        *[F.col(c).cast("double").alias(c) if c in ("adet", "ciro", "marj", "fire", "envanter",
+                                                     "kampanya_zarar") else F.col(c)
+          for c in fixture_fact(spark, SF_SMALL, P).columns])
+    batch, streamed, landing = (str(tmp_path / d) for d in ("batch", "streamed", "landing"))
+    assert folder_kind(spark, batch) == "absent"
+    write_periods(fact.where("yil = 1999"), batch)
+    assert folder_kind(spark, batch) == "batch"
+    fact.where("yil = 2000").coalesce(1).write.parquet(landing + "/drop2")
+    # A sink's log would hide the batch-written 1999 rows from every reader.
+    with pytest.raises(FactFolderError):
+        refresh(spark, landing + "/*", batch, str(tmp_path / "ckpt1"))
+    assert load_periods(spark, batch, P).count() == fact.where("yil = 1999").count()
+
+    # Seeding through the landing folder keeps every row.
+    fact.where("yil = 1999").coalesce(1).write.parquet(landing + "/drop1")
+    refresh(spark, landing + "/*", streamed, str(tmp_path / "ckpt2"))
+    assert folder_kind(spark, streamed) == "stream"
+    assert load_periods(spark, streamed, P).count() == 1782
+    with pytest.raises(FactFolderError):
+        write_periods(fact.where("yil = 2000"), streamed, mode="append")
+    assert load_periods(spark, streamed, P).count() == 1782
