@@ -8,6 +8,7 @@ DuckDB SQL over the same tables.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -277,11 +278,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return A.worst(with_reason(A.group_analysis(fact, P)), "mal_grubu", 10)
 
 
+def _training_data():
+    """The queries of the training-data operators, where that subpackage is present."""
+    if importlib.util.find_spec("periodlens.llm") is None:
+        return {}, {}
+    from periodlens.llm import queries as training
+
+    found = dict(training.QUERIES)
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            return found, {**training.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return found, dict(training.SQL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(fn):
         return lambda spark, sf_dir: fn(fixture_fact(spark, sf_dir, P))
-    return {name: run(fn) for name, fn in _SPARK.items()}
+    return {name: run(fn) for name, fn in _SPARK.items()} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(_SQL) | _training_data()[1]
