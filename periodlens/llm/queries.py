@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, mixing, token_counts, url_filter
+from . import chat_format, mixing, perplexity, rule_ensemble, text_stats, token_counts, url_filter
+from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,12 +27,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    """Whether crc32(doc_id as text) mod parts is part; a null id is not held out."""
+    at = F.crc32(F.col("doc_id").cast("string")) % parts
+    return F.coalesce(at == part, F.lit(False)).alias("held_out")
+
+
+@_query("op1_rule_ensemble")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "quality")
+    stats = scratch.write(rule_ensemble.with_statistics(text_stats.with_text_counts(docs)),
+                          "statistics")
+    labels = (_table(spark, sf_dir, "labels")
+              .where(~_held_out(4, 2)).select("doc_id", F.col("quality").alias("label")))
+    model = rule_ensemble.fit(stats.join(labels, "doc_id"))
+    return (stats.select("doc_id", _held_out(4, 2), model.score().alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
+
+
 @_query("op4_mix_sources")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op5_perplexity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge_perplexity(_table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"),
              ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
              ("net", "/fr/", "block")]
