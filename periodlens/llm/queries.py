@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, perplexity, rule_ensemble, text_stats, token_counts, url_filter
+from . import (chat_format, language_id, mixing, perplexity, rule_ensemble, text_stats,
+               token_counts, url_filter)
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
 
 
+@_query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, ~_held_out(3, 1))
+    return found.select("doc_id", _held_out(3, 1), "lang_pred", "score")
+
+
 @_query("op4_mix_sources")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
