@@ -219,13 +219,15 @@ class Mix:
                                                     - F.col("begun"), F.col("size"))
                                    - F.col("from")))
         drawn = self.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
-        taken = (self.blocks.join(drawn, ["source_id", "block"])
+        # Slots come from a short list by a Python function, so Spark's estimate of their
+        # size is far too low: without the hint it would broadcast them.
+        taken = (self.blocks.join(drawn.hint("merge"), ["source_id", "block"])
                  .groupBy("source_id", "begun")
                  .agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
         # Words stand at one place of one source, so a row with words is known by it.
         self.documents = (placed.withColumn("at", F.when(F.col("size") > 0, F.col("begun")))
-                          .join(taken.withColumnRenamed("begun", "at"), ["source_id", "at"],
-                                "left")
+                          .join(taken.withColumnRenamed("begun", "at").hint("merge"),
+                                ["source_id", "at"], "left")
                           .select("doc_id", *[c for c in keep if c not in ("doc_id",)],
                                   "source", "size", "source_size", "target",
                                   F.coalesce("taken", F.lit(0)).alias("taken")))
