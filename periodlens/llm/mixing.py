@@ -35,7 +35,7 @@ from .scratch import Scratch, schema_of
 from .words import slices, text_bytes, word_bounds
 
 WEIGHTS = (5, 2, 1)
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 SHARDS = 64
 MAX_REPEATS = 3
 ROUNDS = 4  # of the permutation's mixing network
