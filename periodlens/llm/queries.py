@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, language_id, mixing, perplexity, rule_ensemble, text_stats,
-               token_counts, url_filter)
+from . import (chat_format, language_id, mixing, perplexity, rule_ensemble,
+               substring_dedup, text_stats, token_counts, url_filter)
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
 
 
+@_query("op2_substring_dedup", r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20),
+paths AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS path FROM places),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY path) AS head FROM paths)
+  WHERE (doc_id, i) > head),
+gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS spots
+  FROM later, range(0, 20) AS r(k) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(spots), 0) AS n_removed,
+  sha256(array_to_string(
+    list_filter(w, lambda x, k: NOT list_contains(coalesce(spots, []), k)), ' ')) AS kept_sha256
+FROM docs d LEFT JOIN gone USING (doc_id)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed",
+                        F.sha2(substring_dedup.joined_words("text"), 256).alias("kept_sha256"))
+
+
 @_query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
