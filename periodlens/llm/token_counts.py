@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import schema_of
+from .scratch import Scratch, schema_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern of that public vocabulary (a fixed value).
@@ -81,7 +81,9 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, text: str =
 
 
 def limits(histogram: DataFrame) -> DataFrame:
-    """One row per length, taken as context limit."""
+    """One row per length, taken as context limit. The histogram is read twice, so it is
+    written first: the texts are encoded once."""
+    histogram = Scratch(histogram.sparkSession, "lengths").write(histogram, "histogram")
     h = (histogram.withColumn("tokens", F.col("docs") * F.col("length"))
          .withColumn("block", F.floor(F.col("length") / BLOCK)))
     from_here = (Window.partitionBy("block").orderBy(F.col("length").desc())
