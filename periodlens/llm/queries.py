@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, language_id, mixing, perplexity, rule_ensemble,
+from . import (chat_format, language_id, minhash_join, mixing, perplexity, rule_ensemble,
                substring_dedup, text_stats, token_counts, url_filter)
 from .scratch import Scratch
 
@@ -120,6 +120,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents")))
 
 
+@_query("op9_minhash_join", r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
+        FROM docs WHERE len(w) > 0)),
+sets AS (SELECT doc_id, list_sort(list(hash(s))) AS ss, count(*) AS n
+         FROM shingles GROUP BY doc_id),
+classes AS (SELECT min(doc_id) AS c, list(doc_id) AS members, any_value(n) AS n
+            FROM sets GROUP BY ss),
+own AS (SELECT c, s FROM classes JOIN shingles ON doc_id = c),
+common AS (SELECT a.c AS x, b.c AS y, count(*) AS k
+           FROM own a JOIN own b ON a.s = b.s AND a.c < b.c GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN classes p ON p.c = x JOIN classes q ON q.c = y
+          WHERE 100 * k >= 85 * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT c AS x, c AS y FROM classes
+          UNION SELECT reach.x, e.y FROM reach JOIN edges e ON reach.y = e.x),
+part AS (SELECT x AS c, min(y) AS component FROM reach GROUP BY x),
+member AS (SELECT unnest(members) AS doc_id, component FROM classes JOIN part USING (c))
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id,
+  d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM docs d LEFT JOIN sets USING (doc_id) LEFT JOIN member USING (doc_id)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .scratch import schema_of
 from .words import mix, range_hashes, slices, text_bytes, window_hashes, window_starts, word_bounds
+from .zipped import zipped
 
 WIDTH = 20
 GROUP_SUFFIXES = 3_000_000
@@ -330,7 +331,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFF
              .groupBy("__id").agg(F.flatten(F.collect_list("places")).alias("__places"),
                                   F.flatten(F.collect_list("checks")).alias("__checks")))
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    small = _zipped(docs.select(*columns))
+    small = zipped(docs.select(*columns))
     joined = small.join(found, F.coalesce("doc_id", F.lit(int(LAST_ID))) == F.col("__id"),
                         "left").drop("__id")
     schema = schema_of(docs.select(*columns), "n_words long, n_removed long")
@@ -385,22 +386,3 @@ def joined_words(text: str) -> Column:
     """The words of a text joined by one space; null gives ''."""
     return F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")),
                                    r"[\x20\x09-\x0D]+", " "))
-
-
-def _zipped(docs: DataFrame) -> DataFrame:
-    """The text as compressed bytes ``__zip``: it is what a shuffle then moves."""
-    keep = [c for c in docs.columns if c != "text"]
-    schema = schema_of(docs.select(*keep), "__zip binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        zipper = zstandard.ZstdCompressor(level=1)
-        for b in (part for whole in batches for part in slices(whole, "text")):
-            texts = b.column("text").to_pylist()
-            packed = pa.array([None if t is None else zipper.compress(t.encode())
-                               for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], packed],
-                                             names=[*keep, "__zip"])
-
-    return docs.select(*keep, "text").mapInArrow(run, schema)
