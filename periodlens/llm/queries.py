@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, language_id, minhash_join, mixing, perplexity, rule_ensemble,
+from . import (chat_format, decontamination, language_id, minhash_join, mixing, perplexity, rule_ensemble,
                substring_dedup, text_stats, token_counts, url_filter)
 from .scratch import Scratch
 
@@ -120,6 +120,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents")))
 
 
+@_query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
 @_query("op9_minhash_join", r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
