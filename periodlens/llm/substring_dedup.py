@@ -37,8 +37,8 @@ from .words import mix, range_hashes, slices, text_bytes, window_hashes, window_
 from .zipped import zipped
 
 WIDTH = 20
-GROUP_SUFFIXES = 3_000_000
-SLICE = 1 << 24
+GROUP_SUFFIXES = 2_000_000
+SLICE = 1 << 23
 CODE_BITS = 10  # of a word's hash in a prefix
 CODES = 1 << CODE_BITS
 LEVELS = 4  # of words in a prefix; a branch still too large is split by whole paths
@@ -203,27 +203,27 @@ def pack_slice(batch: pa.RecordBatch, tree: PrefixTree, parts: int, width: int
         codes_here = word_codes(hashes)
         here = window_hashes(hashes, width)[begin] if len(begin) else np.zeros(0, np.uint64)
         path.append(here)
-        codes.append(tree.groups(codes_here, begin, here))
-        place.append(begin - first[row])
-        rows.append(row + base)
+        codes.append(tree.groups(codes_here, begin, here).astype(np.int32))
+        place.append((begin - first[row]).astype(np.int32))
+        rows.append((row + base).astype(np.int32))
         words.append(np.maximum(np.diff(first) - width + 1, 0))
         base += len(at) - 1
     if not path or not sum(map(len, path)):
         return
     path, group, place, row = map(np.concatenate, (path, codes, place, rows))
+    del codes, rows
     begun = np.concatenate([[0], np.cumsum(np.concatenate(words))])[:-1]
     # Rows of one doc_id are one document: order by place among them.
-    order = np.argsort(path, kind="stable")
-    sorted_path = path[order]
+    order = np.argsort(path, kind="stable").astype(np.int32)
     same = np.zeros(len(order), bool)
-    same[1:] = sorted_path[1:] == sorted_path[:-1]
+    same[1:] = path[order[1:]] == path[order[:-1]]
     if len(np.unique(doc)) < len(doc) and same.any():
         order = np.lexsort((place, doc[row], path))
-    edge = np.flatnonzero(~same)
-    head = order[np.repeat(edge, np.diff(np.r_[edge, len(order)]))]
+    firsts = order[~same]
     # Repeated rows of one doc_id share their places: those are no repeats.
-    later = (doc[row[order]] != doc[row[head]]) | (place[order] != place[head])
-    repeats = order[later]
+    again, head = order[same], firsts[np.cumsum(~same)[same] - 1]
+    repeats = again[(doc[row[again]] != doc[row[head]]) | (place[again] != place[head])]
+    del again, head, same, order
     if len(repeats):
         known = _lists(doc[row[repeats]], place[repeats], path[repeats])
         n = len(known[0])
@@ -232,7 +232,6 @@ def pack_slice(batch: pa.RecordBatch, tree: PrefixTree, parts: int, width: int
         yield pa.RecordBatch.from_arrays(
             [pa.array(spread), pa.nulls(n, pa.int32()), none, none, none, none, *known],
             names=PACKED_NAMES)
-    firsts = order[edge]
     firsts = firsts[np.argsort(group[firsts], kind="stable")]  # by path within a group
     groups, cut = np.unique(group[firsts], return_index=True)
     for g, a, b in zip(groups, cut, np.r_[cut[1:], len(firsts)]):
