@@ -90,6 +90,8 @@ class Pieces:
     def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For words of one length after another: their indices, and ids[length - 1,
         word, end]: the piece that ends there, ``size`` for an unknown letter, -1 for none."""
+        if not words:
+            return
         lengths = np.array([len(w) for w in words]) + 1
         order = np.argsort(lengths, kind="stable")
         bounds = np.flatnonzero(np.r_[True, np.diff(lengths[order]) > 0, True])
@@ -240,7 +242,9 @@ def em_step(words: DataFrame, model: Model) -> Model:
 
 def predict(docs: DataFrame, models: list[Model], keep: tuple[str, ...] = ("doc_id",),
             text: str = "text") -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of every row."""
+    """``keep`` columns, ``lang_pred`` and ``score`` of every row; columns of these names
+    are replaced."""
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     out = docs.select(*keep, F.col(text).alias("__text"),
                       F.lit(None).cast("string").alias("__lang"),
                       F.lit(None).cast("double").alias("__best"),
@@ -274,7 +278,7 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
             known = np.concatenate([known, logs])
             best, name, total = (b.column(c).to_pylist() for c in ("__best", "__lang", "__all"))
             for i, t in enumerate(texts):
-                if not any(w.isalpha() for w in t):
+                if not any(c.isalpha() for w in t for c in w):
                     continue
                 mean = known[[place[w] for w in t]].mean(axis=0) * min(len(t), EVIDENCE)
                 top = int(mean.argmax())

@@ -43,7 +43,7 @@ ROUNDS = 4  # of the permutation's mixing network
 
 def word_counts(docs: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
     """All columns but the text, its number of words and its hash."""
-    keep = [c for c in docs.columns if c not in (text, name, "text_hash")]
+    keep = [c for c in docs.columns if c not in (text, name, "text_hash")]  # replaced
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"),
                       F.xxhash64(text).alias("text_hash"))
     schema = schema_of(src.drop("__text"), f"{name} long")
@@ -189,6 +189,8 @@ class Mix:
                  block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 17,
                  max_repeats: int = MAX_REPEATS, keep: tuple[str, ...] = ()):
         spark = docs.sparkSession
+        own = {"doc_id", "source", "text", "size", "text_hash", "source_size", "target", "taken"}
+        keep = tuple(c for c in keep if c not in own)
         scratch = Scratch(spark, "mix")
         counted = scratch.write(word_counts(docs.select("doc_id", "source", "text", *keep)),
                                 "sizes")
@@ -228,8 +230,7 @@ class Mix:
         self.documents = (placed.withColumn("at", F.when(F.col("size") > 0, F.col("begun")))
                           .join(taken.withColumnRenamed("begun", "at").hint("merge"),
                                 ["source_id", "at"], "left")
-                          .select("doc_id", *[c for c in keep if c not in ("doc_id",)],
-                                  "source", "size", "source_size", "target",
+                          .select("doc_id", *keep, "source", "size", "source_size", "target",
                                   F.coalesce("taken", F.lit(0)).alias("taken")))
 
 
