@@ -38,6 +38,7 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
 SHARDS = 64
 MAX_REPEATS = 3
+SLOTS_PER_TASK = 1 << 20
 ROUNDS = 4  # of the permutation's mixing network
 
 
@@ -160,7 +161,9 @@ def plan_slots(spark, info: list[dict], counts: np.ndarray, seed: int) -> DataFr
              .select("shard", "source_id", "blocks", (F.col("slot") + F.col("chunk") * step)
                      .alias("slot"), (F.col("nth") + F.col("chunk") * step).alias("nth"),
                      F.least(F.col("n") - F.col("chunk") * step, F.lit(step)).alias("n"))
-             .repartition("shard", "source_id", "nth"))
+             .repartition(max(spark.sparkContext.defaultParallelism,
+                              -(-int(counts.sum()) // SLOTS_PER_TASK)),
+                          "shard", "source_id", "nth"))
     schema = "shard int, slot long, source_id int, block long"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
