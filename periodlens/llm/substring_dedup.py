@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,22 +170,48 @@ def _check(path: np.ndarray) -> np.ndarray:
     return (path >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
-def _lists(doc: np.ndarray, place: np.ndarray, path: np.ndarray) -> list[pa.Array]:
-    """doc_id, places, checks: one row per document, as Arrow lists."""
-    order = np.argsort(doc, kind="stable")
-    doc, place, path = doc[order], place[order], path[order]
-    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
-    offsets = pa.array(np.r_[edge, len(doc)], pa.int32())
-    return [pa.array(doc[edge], pa.int64()),
-            pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())),
-            pa.ListArray.from_arrays(offsets, pa.array(_check(path), pa.int16()))]
+PACKED = ("part int, group int, path binary, spot binary, docs binary, begun binary, "
+          "__target int, __repeats binary")
+PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
+REPEATS = "__target int, __repeats binary"
 
 
-PACKED = ("part int, group int, path binary, spot binary, docs binary, begun binary, "
-          "doc_id long, places array<int>, checks array<smallint>")
+def target_of(doc: np.ndarray, targets: int) -> np.ndarray:
+    """The part of the documents that a doc_id belongs to when repeats meet texts."""
+    return (mix(doc.astype(np.uint64)) % np.uint64(targets)).astype(np.int32)
+
+
+def pack_repeats(doc: np.ndarray, place: np.ndarray, path: np.ndarray, targets: int
+                 ) -> tuple[list[int], list[bytes]]:
+    """Repeated places (with a check of their path) in one blob per target."""
+    import zstandard
 
+    target = target_of(doc, targets)
+    order = np.lexsort((place, doc, target))
+    doc, place, target = doc[order], place[order], target[order]
+    check = _check(path[order])
+    cut = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(doc) else []
+    blobs, zipper = [], zstandard.ZstdCompressor(level=1)
+    for a, b in zip(cut, np.r_[cut[1:], len(doc)].astype(int) if len(doc) else []):
+        ids = pack_small(np.diff(doc[a:b], prepend=doc[a:a + 1]))
+        spots = pack_small(place[a:b])
+        head = np.array([doc[a], len(ids), len(spots)], "<i8").tobytes()
+        blobs.append(head + zipper.compress(ids + spots + check[a:b].tobytes()))
+    return [int(target[a]) for a in cut], blobs
 
-def pack_slice(batch: pa.RecordBatch, tree: PrefixTree, parts: int, width: int
+
+def unpack_repeats(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, place, check."""
+    import zstandard
+
+    start, n_ids, n_spots = np.frombuffer(blob, "<i8", 3)
+    body = zstandard.ZstdDecompressor().decompress(blob[24:])
+    return (start + np.cumsum(unpack_small(body[:n_ids])),
+            unpack_small(body[n_ids:n_ids + n_spots]).astype(np.int32),
+            np.frombuffer(body, np.int16, offset=int(n_ids + n_spots)))
+
+
+def pack_slice(batch: pa.RecordBatch, tree: PrefixTree, parts: int, targets: int, width: int
                ) -> Iterator[pa.RecordBatch]:
     """A slice's distinct paths at their first places, packed by group, and the
     places that come after the first within the slice, as repeats already known."""
@@ -225,13 +251,12 @@ def pack_slice(batch: pa.RecordBatch, tree: PrefixTree, parts: int, width: int
     repeats = again[(doc[row[again]] != doc[row[head]]) | (place[again] != place[head])]
     del again, head, same, order
     if len(repeats):
-        known = _lists(doc[row[repeats]], place[repeats], path[repeats])
-        n = len(known[0])
-        spread = (mix(known[0].to_numpy().astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        none = pa.nulls(n, pa.binary())
+        target, blobs = pack_repeats(doc[row[repeats]], place[repeats], path[repeats], targets)
+        none = pa.nulls(len(blobs), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(spread), pa.nulls(n, pa.int32()), none, none, none, none, *known],
-            names=PACKED_NAMES)
+            [pa.array([t % parts for t in target], pa.int32()),
+             pa.nulls(len(blobs), pa.int32()), none, none, none, none,
+             pa.array(target, pa.int32()), pa.array(blobs, pa.binary())], names=PACKED_NAMES)
     firsts = firsts[np.argsort(group[firsts], kind="stable")]  # by path within a group
     groups, cut = np.unique(group[firsts], return_index=True)
     for g, a, b in zip(groups, cut, np.r_[cut[1:], len(firsts)]):
@@ -247,15 +272,11 @@ def pack_slice(batch: pa.RecordBatch, tree: PrefixTree, parts: int, width: int
              pa.array([pack_small(size[spot] + place[mine])], pa.binary()),
              pa.array([pack_small(np.diff(ids, prepend=ids[:1]))], pa.binary()),
              pa.array([ids[:1].tobytes() + pack_small(np.diff(size))], pa.binary()),
-             pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
-             pa.nulls(1, pa.list_(pa.int16()))], names=PACKED_NAMES)
-
+             pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=PACKED_NAMES)
 
-PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
 
-
-def subtree_repeats(blobs: list[dict]) -> list[pa.Array] | None:
-    """The leaves of a group's deep nodes but the first of each, by document."""
+def subtree_repeats(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, place and path of the leaves of a group's deep nodes, but the first of each."""
     path, doc, place = [], [], []
     for blob in blobs:
         paths = unpack_sorted(blob["path"])
@@ -272,44 +293,43 @@ def subtree_repeats(blobs: list[dict]) -> list[pa.Array] | None:
     inner = np.zeros(len(order) + 1, bool)
     inner[1:-1] = same
     deep = order[inner[1:] | inner[:-1]]  # leaves that share a node with another
-    if not len(deep):
-        return None
     path, doc, place = path[deep], doc[deep], place[deep]
     order = np.lexsort((place, doc, path))
     path, doc, place = path[order], doc[order], place[order]
-    edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
-    head = np.repeat(edge, np.diff(np.r_[edge, len(path)]))
+    new = np.ones(len(path), bool)
+    new[1:] = path[1:] != path[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(path)), 0))
     later = (doc != doc[head]) | (place != place[head])
-    return _lists(doc[later], place[later], path[later])
+    return doc[later], place[later], path[later]
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFFIXES) -> DataFrame:
-    """doc_id (null ids as the largest), places and checks: all starts of windows of
-    ``width`` words whose words also start earlier."""
-    tree, groups = grow_tree(docs, width, group)
+def repeats(docs: DataFrame, tree: PrefixTree, groups: int, targets: int, width: int = WIDTH
+            ) -> DataFrame:
+    """target and packed repeats: all starts of windows of ``width`` words whose words
+    also start earlier, one row per group (or slice) and target."""
     sent = docs.sparkSession.sparkContext.broadcast(tree)
     src = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "__text", SLICE):
-                yield from pack_slice(b, sent.value, groups, width)
-
-    names = PACKED_NAMES[-3:]
+                yield from pack_slice(b, sent.value, groups, targets, width)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = subtree_repeats(held) if held else None
-            if found:
-                yield pa.RecordBatch.from_arrays(found, names=names)
+            if held:
+                target, blobs = pack_repeats(*subtree_repeats(held), targets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(target, pa.int32()), pa.array(blobs, pa.binary())],
+                    names=PACKED_NAMES[6:])
 
         for b in batches:
-            known = b.filter(pa.compute.is_valid(b.column("doc_id")))
+            known = b.filter(pc.is_valid(b.column("__target")))
             if known.num_rows:
-                yield known.select(names)
-            for blob in b.filter(pa.compute.is_valid(b.column("group"))).select(
+                yield known.select(PACKED_NAMES[6:])
+            for blob in b.filter(pc.is_valid(b.column("group"))).select(
                     PACKED_NAMES[1:6]).to_pylist():
                 if held and held[0]["group"] != blob["group"]:
                     yield from done()
@@ -318,33 +338,65 @@ def repeats(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFFIXES) ->
         yield from done()
 
     return (src.mapInArrow(pack, PACKED).repartitionById(groups, F.col("part"))
-            .sortWithinPartitions("group")
-            .mapInArrow(build, "doc_id long, places array<int>, checks array<smallint>"))
+            .sortWithinPartitions("group").mapInArrow(build, REPEATS))
+
+
+class KnownRepeats:
+    """The repeats of a target's documents, by doc_id."""
+
+    def __init__(self):
+        self.parts: list = []
+        self.found: tuple | None = None
+
+    def add(self, blobs: list[bytes]) -> None:
+        self.parts += [unpack_repeats(x) for x in blobs]
+        self.found = None
+
+    def of(self, doc: int) -> tuple[np.ndarray, np.ndarray]:
+        """places, checks."""
+        if self.found is None:
+            empty = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int16))
+            doc_, place, check = map(np.concatenate, zip(empty, *self.parts))
+            order = np.argsort(doc_, kind="stable")
+            self.found = doc_[order], place[order], check[order]
+            self.parts = [self.found]
+        a, b = np.searchsorted(self.found[0], [doc, doc + 1] if doc < LAST_ID else [doc, doc])
+        b = b if doc < LAST_ID else len(self.found[0])
+        return self.found[1][a:b], self.found[2][a:b]
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFFIXES
                     ) -> DataFrame:
     """All columns; ``text`` holds the kept words joined by one space where words were
     removed (null texts stay null), ``n_words`` and ``n_removed`` count words."""
-    found = (repeats(docs, width, group).withColumnRenamed("doc_id", "__id")
-             .groupBy("__id").agg(F.flatten(F.collect_list("places")).alias("__places"),
-                                  F.flatten(F.collect_list("checks")).alias("__checks")))
+    tree, groups = grow_tree(docs, width, group)
+    # Texts and repeats meet by parts of about one group's words.
+    targets = groups
+    found = repeats(docs, tree, groups, targets, width)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     small = zipped(docs.select(*columns))
-    joined = small.join(found, F.coalesce("doc_id", F.lit(int(LAST_ID))) == F.col("__id"),
-                        "left").drop("__id")
+    small = small.mapInArrow(lambda batches: (_with_target(b, targets) for b in batches),
+                             schema_of(small, "__target int"))
+    # A target's repeats come before its texts.
+    both = (found.withColumn("__text", F.lit(False))
+            .unionByName(small.withColumn("__text", F.lit(True)), allowMissingColumns=True)
+            .repartitionById(targets, F.col("__target")).sortWithinPartitions("__text"))
     schema = schema_of(docs.select(*columns), "n_words long, n_removed long")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unzip = zstandard.ZstdDecompressor()
+        unzip, known = zstandard.ZstdDecompressor(), KnownRepeats()
         for b in batches:
+            rows = b.filter(b.column("__text"))
+            if rows.num_rows < b.num_rows:
+                known.add([x for x in b.column("__repeats").to_pylist() if x is not None])
             texts, n_words, n_removed = [], [], []
-            for z, places, checks in zip(b.column("__zip"), b.column("__places"),
-                                         b.column("__checks")):
-                raw = unzip.decompress(z.as_py()) if z.is_valid else None
-                kept, n, gone = without_repeats(raw, places, checks, width)
+            for z, doc in zip(rows.column("__zip").to_pylist(),
+                              rows.column("doc_id").to_pylist()):
+                raw = None if z is None else unzip.decompress(z)
+                kept, n, gone = without_repeats(
+                    raw, *known.of(int(LAST_ID) if doc is None else doc), width)
                 texts.append(kept)
                 n_words.append(n)
                 n_removed.append(gone)
@@ -352,23 +404,27 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFF
                     "n_words": pa.array(n_words, pa.int64()),
                     "n_removed": pa.array(n_removed, pa.int64())}
             yield pa.RecordBatch.from_arrays(
-                [cols[c] if c in cols else b.column(c) for c in schema.names],
+                [cols[c] if c in cols else rows.column(c) for c in schema.names],
                 names=schema.names)
 
-    return joined.mapInArrow(remove, schema)
+    return both.mapInArrow(remove, schema)
+
+
+def _with_target(batch: pa.RecordBatch, targets: int) -> pa.RecordBatch:
+    doc = batch.column("doc_id").fill_null(LAST_ID).to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(target_of(doc, targets))],
+                                      names=[*batch.schema.names, "__target"])
 
 
-def without_repeats(raw: bytes | None, places, checks, width: int
+def without_repeats(raw: bytes | None, at: np.ndarray, want: np.ndarray, width: int
                     ) -> tuple[bytes | None, int, int]:
     """(text, words, removed words): a place counts where the path there agrees."""
     words = raw.split() if raw else []
-    if raw is None or places is None or not places.is_valid:
+    if not len(at) or not words:
         return raw, len(words), 0
-    at = places.values.to_numpy()
     data = np.frombuffer(raw, np.uint8)
     starts, ends, _ = word_bounds(data, np.array([0, len(raw)]))
     path = window_hashes(range_hashes(data, starts, ends), width)
-    want = checks.values.to_numpy()
     ok = at < len(path)
     at, want = at[ok], want[ok]
     at = at[_check(path[at]) == want]
