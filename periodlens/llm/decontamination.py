@@ -210,7 +210,8 @@ def _find_leaks(docs: DataFrame, seeds: Seeds, ids: list, threshold: float, text
                         {"item_id": ids[item], "score": score, "first_word": first,
                          "last_word": last}]
                 at = b.schema.get_field_index("leaks")
-                b = b.set_column(at, "leaks", pa.array(leaks, b.schema.field(at).type))
+                field = b.schema.field(at)  # all batches of a task have one schema
+                b = b.set_column(at, field, pa.array(leaks, field.type))
             yield b
 
     return docs.mapInArrow(run, schema)

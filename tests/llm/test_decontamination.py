@@ -98,6 +98,14 @@ def test_hot_passage_and_repeated_words(spark, documents, benchmark):
     assert all(got[k] == {2} for k in range(80)) and got[200] == {3} and not got[201]
 
 
+def test_slices_with_and_without_leaks_in_one_task(spark, documents, benchmark):
+    items, table = benchmark
+    long = "clean words only " * 140_000  # a slice of its own
+    rows = [(1, long), (2, items[2]), (3, long), (4, "clean"), (5, items[3])]
+    got = D.with_leaks(documents(rows).coalesce(1), table).collect()
+    assert {r["doc_id"] for r in got if r["leaks"]} == {2, 5} and len(got) == 5
+
+
 def test_hostile_and_empty(spark, documents, benchmark):
     _, table = benchmark
     docs = documents(hostile_rows()).selectExpr("*", "'clash' AS leaks", "1 AS item_id")
