@@ -274,7 +274,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
     """a, b of linked members of the candidate groups, by their full sets.
     ``groups``: id and group of every class that is in one; ``docs``: doc_id, text."""
     packed = zipped(docs.where("doc_id is not null"), text, ("doc_id",))
-    rows = packed.join(groups.withColumnRenamed("id", "doc_id"), "doc_id")
+    # The groups grow with the documents: never broadcast, also where they are few.
+    rows = packed.join(groups.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
