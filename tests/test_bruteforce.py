@@ -28,7 +28,7 @@ def skewed(spark):
         rows.append(dict(
             sm=f"S{rnd.randrange(3)}", bs=f"B{rnd.randrange(5)}",
             magaza_kod="M0" if hot else f"M{rnd.randrange(1, 40)}",
-            magaza_ad=f"Store {rnd.randrange(3)}", nitelik="N1", urun_grubu=f"U{hash(g) % 3}",
+            magaza_ad=f"Store {rnd.randrange(3)}", nitelik="N1", urun_grubu="U0" if hot else f"U{int(g[1:]) % 3}",
             ust_mal=f"UM{rnd.randrange(2)}", mal_grubu=g, urun_kod=f"P{rnd.randrange(60)}",
             urun_ad=f"Name {rnd.randrange(5)}", yil=rnd.choice((2024, 2025)),
             adet=None if rnd.random() < 0.02 else rnd.randrange(0, 120) / 4,

@@ -30,3 +30,27 @@ def test_cli_page_reports_drilldowns(spark, tmp_path):
     assert k.adet_cur > 0
     st = spark.read.parquet(done["drilldown"]["stores_falling_by_mal_grubu"])
     assert st.groupBy("mal_grubu").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_cli_reads_the_fact_four_times(spark, tmp_path, monkeypatch):
+    """The product base and one base per parent of the store lists: everything else is
+    taken from those."""
+    import periodlens.__main__ as cli
+    fact = fixture_fact(spark, SF_SMALL, Periods(1999, 2000))
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    seen = fact.coalesce(1).mapInArrow(counted, fact.schema)
+    monkeypatch.setattr(cli, "load_periods", lambda *a: seen)
+    out = str(tmp_path / "out")
+    done = main(["--fact", "unused", "--prev", "1999", "--cur", "2000", "--out", out],
+                spark=spark)
+    assert passes.value == 4
+    assert len(done["drilldown"]) == 16 and len(done["reports"]) == 6
+    from periodlens.plans import drilldown as D
+    want = D.named("stores_top_margin", fact, Periods(1999, 2000))
+    got = spark.read.parquet(done["drilldown"]["stores_top_margin"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

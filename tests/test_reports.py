@@ -36,13 +36,59 @@ def test_write_report_parquet(spark, fact, tmp_path, name):
         assert info["min_ciro"] == "₺10,000"
 
 
+def read_csv(spark, path, schema=None):
+    r = spark.read.options(**R.CSV_OPTIONS).option("multiLine", True)
+    return (r.schema(schema) if schema else r).csv(path)
+
+
+NAMES = ["plain", "line1\nline2", ' lead "quoted" ', "trail  ", "back\\slash", '"', ",;\t", "",
+         "\\\"", "\n", "a\r\nb", None]
+
+
+@pytest.mark.parametrize("name", list(R.REPORTS))
+def test_csv_sheets_equal_parquet_sheets(spark, mkfact, tmp_path, name):
+    pp = Periods(2024, 2025)
+    f = mkfact([dict(urun_kod=f"P{k}", urun_ad=n, mal_grubu=f"g{k % 3} \n,\"", yil=2024 + y,
+                     adet=float(10 + k * (y + 1)), ciro=100.0 * (k + 1), marj=5.0 + k * y)
+                for k, n in enumerate(NAMES) for y in (0, 1)])
+    s = Selection(min_ciro=0)
+    plain = R.write_report(spark, name, f, pp, str(tmp_path / "p"), s, now=NOW)
+    csv = R.write_report(spark, name, f, pp, str(tmp_path / "c"), s, fmt="csv", now=NOW)
+    assert set(plain) == set(csv)
+    key = lambda r: tuple((x is None, x) for x in r)
+    for sheet in plain:
+        want = spark.read.parquet(plain[sheet])
+        got = read_csv(spark, csv[sheet], want.schema)
+        assert sorted(map(tuple, got.collect()), key=key) == \
+            sorted(map(tuple, want.collect()), key=key), sheet
+
+
+def test_no_report_table_is_left_behind(spark, fact, tmp_path):
+    import os
+
+    from periodlens.session import shared_dir
+    root = shared_dir(spark).removeprefix("file:")
+    R.write_report(spark, "marj", fact, P, str(tmp_path), now=NOW)
+    assert not [d for d in os.listdir(root) if d.startswith("report-")]
+
+
+def test_time_follows_the_session_time_zone(spark):
+    utc = dt.datetime(2025, 11, 30, 23, 30, tzinfo=dt.timezone.utc)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Istanbul")
+        assert R.info_row(spark, "urun", now=utc).first().tarih == "2025-12-01 02:30"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_write_report_csv_and_empty(spark, fact, tmp_path):
     s = Selection(sm="NO SUCH REGION")
     paths = R.write_report(spark, "urun_grubu", fact, P, str(tmp_path), selection=s,
                            fmt="csv", now=NOW)
-    df = spark.read.option("header", True).csv(paths["En Kötü 20"])
+    df = read_csv(spark, paths["En Kötü 20"])
     assert df.count() == 0
-    info = spark.read.option("header", True).csv(paths["Bilgi"]).first()
+    info = read_csv(spark, paths["Bilgi"]).first()
     assert info.filtre == "SM: NO SUCH REGION"
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from periodlens import Periods
 from periodlens.schema import FactSchemaError
 from periodlens.sources import (FactCache, FactLoadError, fixture_fact, load_periods,
-                                period_counts, read_period_files, register, write_periods)
+                                period_counts, read_period_files, register, replace_period,
+                                write_periods)
 
 from .conftest import SF_SMALL
 
@@ -119,3 +120,39 @@ def test_shared_dir_reads_session_setting(spark):
     d = shared_dir(spark)
     assert d == spark.sparkContext.getCheckpointDir()
     assert scratch_path(spark, "x").startswith(d)
+
+
+def kpis(fact):
+    from periodlens.plans import analyses as A
+    return [None if x is None else round(float(x), 6) for x in A.kpi_summary(fact, P).first()]
+
+
+def test_writing_one_period_keeps_the_other(spark, fact, tmp_path):
+    p = str(tmp_path / "fact")
+    write_periods(fact, p)
+    write_periods(fact.where("yil = 2000"), p)
+    back = load_periods(spark, p, P)
+    assert {r.yil: r.satir for r in period_counts(back).collect()} == {
+        r.yil: r.satir for r in period_counts(fact).collect()}
+    assert kpis(back) == kpis(fact)
+    write_periods(fact.where("yil = 2000"), p, replace_all=True)
+    assert [r.yil for r in period_counts(load_periods(spark, p)).collect()] == [2000]
+
+
+def test_restated_period_replaces_its_rows(spark, fact, tmp_path):
+    p = str(tmp_path / "fact")
+    write_periods(fact, p)
+    cache = FactCache(lambda: load_periods(spark, p, P), partitions=3)
+    assert kpis(cache.get()) == kpis(fact)
+    new = fact.where("yil = 2000 AND sm <> 'ASIA'").withColumn(
+        "adet", (F.col("adet") * 3).cast(fact.schema["adet"].dataType))
+    replace_period(new.drop("yil"), p, 2000)
+    want = fact.where("yil = 1999").unionByName(new)
+    assert kpis(cache.refresh()) == kpis(want)
+    assert cache.get().rdd.getNumPartitions() == 3
+    assert cache.get().count() == want.count()
+    replace_period(new.limit(0), p, 2000)
+    assert [r.yil for r in period_counts(load_periods(spark, p)).collect()] == [1999]
+    with pytest.raises(FactLoadError):
+        replace_period(fact, p, 2000)
+    assert load_periods(spark, p).count() == fact.where("yil = 1999").count()
