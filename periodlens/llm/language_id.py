@@ -73,7 +73,7 @@ class Pieces:
     """Finds vocabulary pieces in many words at once, by hashes of their letters."""
 
     def __init__(self, pieces: list[str]):
-        keys = np.array([self._hash(p) for p in pieces], np.uint64)
+        keys = self._hashes(pieces)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.size = len(pieces)
@@ -81,11 +81,15 @@ class Pieces:
         self.near[keys >> np.uint64(44)] = True
 
     @staticmethod
-    def _hash(piece: str) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = (h + np.uint64(ord(c) + 1)) * _R
-        return mix(h)[0]
+    def _hashes(pieces: list[str]) -> np.ndarray:
+        size = np.array([len(p) for p in pieces])
+        text = "".join(p.ljust(LONGEST_PIECE, "\0") for p in pieces)
+        letters = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        letters = letters.reshape(len(pieces), LONGEST_PIECE).astype(np.uint64)
+        h = np.zeros(len(pieces), np.uint64)
+        for k in range(LONGEST_PIECE):
+            h = np.where(k < size, (h + letters[:, k] + np.uint64(1)) * _R, h)
+        return mix(h)
 
     def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For words of one length after another: their indices, and ids[length - 1,
