@@ -27,7 +27,8 @@ from periodlens.plans import analyses as A  # noqa: E402
 from periodlens.plans import drilldown as D  # noqa: E402
 from periodlens.plans import reports as R  # noqa: E402
 from periodlens.sources import FIXTURE_PERIODS as P  # noqa: E402
-from periodlens.sources import fixture_fact, period_counts  # noqa: E402
+from periodlens.sources import (fixture_fact, period_counts, register,  # noqa: E402
+                                stack_periods)
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -62,6 +63,28 @@ def _eq(**kv):
 _reg("period_counts", "SELECT yil, count(*) AS satir FROM veri GROUP BY yil")(
     lambda f: period_counts(f))
 
+_SUMS = ", ".join(f"CAST(SUM({m}) AS DOUBLE) AS {m}" for m in ("adet", "ciro", "marj"))
+_BY_PERIOD = f"SELECT yil, sm, count(*) AS satir, {_SUMS} FROM veri GROUP BY yil, sm"
+
+
+def _from_period_frames(f: DataFrame) -> DataFrame:
+    """The fact as one frame per period, as period files come: columns in capitals and
+    another order, one with and one without the period column."""
+    frames = {}
+    for year, keep in ((P.prev, True), (P.cur, False)):
+        part = f.where(F.col("yil") == year)
+        part = part if keep else part.drop("yil")
+        frames[year] = part.select(*[F.col(c).alias(c.title()) for c in reversed(part.columns)])
+    return stack_periods(frames)
+
+
+_reg("fact_from_period_files", _BY_PERIOD)(
+    lambda f: _from_period_frames(f).groupBy("yil", "sm").agg(
+        F.count(F.lit(1)).alias("satir"),
+        *[F.sum(m).cast("double").alias(m) for m in ("adet", "ciro", "marj")]))
+_reg("veri_view_sql", _BY_PERIOD)(
+    lambda f: register(f, "veri").sparkSession.sql(_BY_PERIOD))
+
 for _c in ("sm", "nitelik", "urun_grubu"):
     _reg(f"options_{_c}", f"SELECT DISTINCT {_c} FROM veri WHERE {_c} <> ''")(
         lambda f, c=_c: opt.distinct_values(f, c))
@@ -218,8 +241,7 @@ _reg("stores_falling_all_products_named",
      "SELECT f.*, p.urun_ad, substring(coalesce(p.urun_ad, f.urun_kod), 1, 30) || '...' "
      f"AS baslik FROM ({O.falling('urun_kod', None)}) f LEFT JOIN ({O.analysis('urun')}) p "
      "ON f.urun_kod = p.urun_kod")(
-    lambda f: D.with_product_names(D.falling_stores(f, P, "urun_kod"),
-                                   A.product_analysis(f, P)))
+    lambda f: D.falling_stores_named(f, P))
 _reg("product_name_lookup",
      f"SELECT urun_kod, urun_ad FROM ({O.analysis('urun_adet')}) u WHERE urun_kod = {O.q(UK)}")(
     lambda f: D.product_name(A.products_by_units(f, P), UK))
@@ -270,6 +292,10 @@ for _rname in R.REPORTS:
         lambda f, r=_rname: R.report_table(r, f, P, ALL))
 
 
+_reg("report_mal_grubu_empty", O.report("mal_grubu", _eq(sm=NOWHERE.sm)))(
+    lambda f: R.report_table("mal_grubu", f, P, NOWHERE))
+
+
 # --- driver entry points ---------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:

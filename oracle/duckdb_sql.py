@@ -146,14 +146,14 @@ def analysis(name: str, conds=(), min_ciro: float = 10000.0, min_adet: float = 0
     raise KeyError(name)
 
 
-# Reason texts (RSN-1 / RSN-2) as the reference shows them.
+# Reason texts (RSN-1 / RSN-2), as operators/reasons.py words them.
 RSN1 = [
     ("🔥 Fire artışı kritik", "SKT kontrolü, sipariş azalt", "red"),
     ("📦 Bulunurluk problemi", "Raf yerleşimi ve stok kontrol", "yellow"),
-    ("\u26a0\ufe0f Stok/SKT sorunu", "Sipariş miktarını düşür", "red"),
+    ("⚠️ Stok/SKT sorunu", "Sipariş miktarını düşür", "red"),
     ("💰 Marj erimesi", "Fiyatlama ve SMM kontrol", "yellow"),
-    ("✅ Başarılı performans", "Başarı faktörlerini analiz et", "green"),
-    ("📉 Performans düşüşü", "Detaylı analiz gerekli", "yellow"),
+    ("✅ Başarılı sonuç", "Başarı faktörlerini analiz et", "green"),
+    ("📉 Adet düşüşü", "Detaylı analiz gerekli", "yellow"),
     ("📊 Normal", "-", "green"),
 ]
 RSN2 = [
@@ -161,7 +161,7 @@ RSN2 = [
     "📉 Satış Düşüşü",
     "📦 Envanter Artışı",
     "🔥 Fire Artışı",
-    "\U0001f3f7\ufe0f Kampanya Zararı Artışı",
+    "🏷️ Kampanya Zararı Artışı",
 ]
 RSN2_DEFAULT = ("📊 Belirgin neden yok", "Detaylı analiz gerekli")
 
@@ -309,39 +309,40 @@ def _reasoned(inner: str) -> str:
 
 
 # report -> tables (name -> (sql, key)), sheets (name, table, by, n, largest, positive)
-REPORTS = {
-    "mal_grubu": ({"main": (_reasoned(analysis("mal_grubu")), "mal_grubu")},
-                  [("En Kötü 20", "main", "adet_deg", 20, False, False),
-                   ("En İyi 20", "main", "adet_deg", 20, True, False),
-                   ("Tüm Veriler", "main", None, None, None, False)]),
-    "urun_grubu": ({"main": (_reasoned(analysis("urun_grubu")), "urun_grubu")},
-                   [("En Kötü 20", "main", "adet_deg", 20, False, False),
-                    ("En İyi 20", "main", "adet_deg", 20, True, False),
-                    ("Tüm Veriler", "main", None, None, None, False)]),
-    "urun": ({"main": (_reasoned(analysis("urun")), "urun_kod")},
-             [("En Kötü 50", "main", "adet_deg", 50, False, False),
-              ("En İyi 50", "main", "adet_deg", 50, True, False),
-              ("Tüm Veriler", "main", None, None, None, False)]),
-    "adet": ({"main": (analysis("urun_adet"), "urun_kod")},
-             [("En Çok Satan 50", "main", "adet_cur", 50, True, False),
-              ("En Az Satan 50", "main", "adet_cur", 50, False, True),
-              ("Tüm Veriler", "main", None, None, None, False)]),
-    "ciro": ({"main": (analysis("urun_ciro"), "urun_kod")},
-             [("En Çok Ciro 50", "main", "ciro_cur", 50, True, False),
-              ("En Az Ciro 50", "main", "ciro_cur", 50, False, False),
-              ("Tüm Veriler", "main", None, None, None, False)]),
-    "marj": ({"main": (analysis("marj_mal_grubu"), "mal_grubu"),
-              "urun": (analysis("marj_urun"), "urun_kod")},
-             [("Mal Grubu - Kayıp", "main", "marj_fark", 20, False, False),
-              ("Mal Grubu - Kazanç", "main", "marj_fark", 20, True, False),
-              ("Mal Grubu - Tümü", "main", None, None, None, False),
-              ("Malzeme - Kayıp", "urun", "marj_fark", 20, False, False),
-              ("Malzeme - Kazanç", "urun", "marj_fark", 20, True, False)]),
-}
-
-
-def report(name: str) -> str:
-    tables, sheets = REPORTS[name]
+def reports(conds=()) -> dict:
+    return {
+        "mal_grubu": ({"main": (_reasoned(analysis("mal_grubu", conds)), "mal_grubu")},
+                      [("En Kötü 20", "main", "adet_deg", 20, False, False),
+                       ("En İyi 20", "main", "adet_deg", 20, True, False),
+                       ("Tüm Veriler", "main", None, None, None, False)]),
+        "urun_grubu": ({"main": (_reasoned(analysis("urun_grubu", conds)), "urun_grubu")},
+                       [("En Kötü 20", "main", "adet_deg", 20, False, False),
+                        ("En İyi 20", "main", "adet_deg", 20, True, False),
+                        ("Tüm Veriler", "main", None, None, None, False)]),
+        "urun": ({"main": (_reasoned(analysis("urun", conds)), "urun_kod")},
+                 [("En Kötü 50", "main", "adet_deg", 50, False, False),
+                  ("En İyi 50", "main", "adet_deg", 50, True, False),
+                  ("Tüm Veriler", "main", None, None, None, False)]),
+        "adet": ({"main": (analysis("urun_adet", conds), "urun_kod")},
+                 [("En Çok Satan 50", "main", "adet_cur", 50, True, False),
+                  ("En Az Satan 50", "main", "adet_cur", 50, False, True),
+                  ("Tüm Veriler", "main", None, None, None, False)]),
+        "ciro": ({"main": (analysis("urun_ciro", conds), "urun_kod")},
+                 [("En Çok Ciro 50", "main", "ciro_cur", 50, True, False),
+                  ("En Az Ciro 50", "main", "ciro_cur", 50, False, False),
+                  ("Tüm Veriler", "main", None, None, None, False)]),
+        "marj": ({"main": (analysis("marj_mal_grubu", conds), "mal_grubu"),
+                  "urun": (analysis("marj_urun", conds), "urun_kod")},
+                 [("Mal Grubu - Kayıp", "main", "marj_fark", 20, False, False),
+                  ("Mal Grubu - Kazanç", "main", "marj_fark", 20, True, False),
+                  ("Mal Grubu - Tümü", "main", None, None, None, False),
+                  ("Malzeme - Kayıp", "urun", "marj_fark", 20, False, False),
+                  ("Malzeme - Kazanç", "urun", "marj_fark", 20, True, False)]),
+    }
+
+
+def report(name: str, conds=()) -> str:
+    tables, sheets = reports(conds)[name]
     parts = []
     for sheet, table, by, n, largest, positive in sheets:
         sql, key = tables[table]

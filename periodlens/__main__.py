@@ -18,12 +18,14 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark import StorageLevel
+
 from .operators.filters import Selection
 from .operators.reasons import margin_reasons
 from .params import DEFAULT_MIN_CIRO, Periods
 from .plans import analyses as A
 from .plans import drilldown as D
-from .plans.page import write_page
+from .plans.page import grain_base, product_base, write_page
 from .plans.reports import write_reports
 from .session import build_session
 from .sources import load_periods, read_period_files, write_periods
@@ -51,6 +53,32 @@ def parse(argv):
     return ap.parse_args(argv)
 
 
+def write_lists(lists: dict, out: str) -> dict[str, str]:
+    paths = {}
+    for name, df in lists.items():
+        paths[name] = f"{out}/drilldown/{name}"
+        df.write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
+def write_store_lists(fact, periods: Periods, sel: Selection, out: str) -> dict[str, str]:
+    """Every store list of every parent: the fact is read once per parent, into its
+    stores' sums, and the parent's lists are taken from those."""
+    paths = {}
+    for parent, grain in D.STORE_GRAINS.items():
+        base = grain_base(fact, periods, grain, sel).persist(StorageLevel.MEMORY_AND_DISK)
+        short = "urun" if parent == "urun_kod" else parent
+        lists = {f"stores_falling_by_{short}": D.falling_stores(base, periods, parent),
+                 f"stores_rising_by_{short}": D.rising_stores(base, periods, parent)}
+        lists |= {n: D.named(n, base, periods) for n, p in D.PARENTS.items()
+                  if p == parent and D.SPECS[n].child == D.STORE[0]}
+        try:
+            paths |= write_lists(lists, out)
+        finally:
+            base.unpersist()
+    return paths
+
+
 def main(argv=None, spark=None) -> dict:
     a = parse(argv if argv is not None else sys.argv[1:])
     spark = spark or build_session()
@@ -72,42 +100,26 @@ def main(argv=None, spark=None) -> dict:
                     urun_grubu=a.urun_grubu, ust_mal=a.ust_mal, mal_grubu=a.mal_grubu,
                     min_ciro=a.min_ciro)
     out = a.out.rstrip("/")
-    done = {"page": write_page(fact, periods, f"{out}/page", sel)}
-    if not a.no_reports:
-        done["reports"] = write_reports(spark, fact, periods, f"{out}/reports", sel,
-                                        fmt=a.format)
-    if not a.no_drilldowns:
-        drills = {
-            "stores_falling_by_mal_grubu": D.falling_stores(fact, periods, "mal_grubu",
-                                                            selection=sel),
-            "stores_rising_by_mal_grubu": D.rising_stores(fact, periods, "mal_grubu",
-                                                          selection=sel),
-            "stores_falling_by_urun_grubu": D.falling_stores(fact, periods, "urun_grubu",
-                                                             selection=sel),
-            "stores_rising_by_urun_grubu": D.rising_stores(fact, periods, "urun_grubu",
-                                                           selection=sel),
-            "stores_falling_by_urun": D.falling_stores(fact, periods, "urun_kod",
-                                                       selection=sel),
-            "stores_rising_by_urun": D.rising_stores(fact, periods, "urun_kod", selection=sel),
-            "products_of_group": D.named("products_of_group", fact, periods, selection=sel),
-            "groups_of_product_group": D.named("groups_of_product_group", fact, periods,
-                                               selection=sel),
-            "stores_top_margin": D.named("stores_top_margin", fact, periods, selection=sel),
-            "products_top_margin": D.named("products_top_margin", fact, periods,
-                                           selection=sel),
-            "margin_reasons_group": margin_reasons(A.group_margin(fact, periods, sel),
-                                                   ["mal_grubu"]),
-            "margin_reasons_product": margin_reasons(A.product_margin(fact, periods, sel),
-                                                     ["urun_kod"]),
-        }
-        for name in ("stores_most_units", "stores_least_units", "stores_most_revenue",
-                     "stores_least_revenue"):
-            drills[name] = D.named(name, fact, periods, selection=sel)
-        paths = {}
-        for name, df in drills.items():
-            paths[name] = f"{out}/drilldown/{name}"
-            df.write.mode("overwrite").parquet(paths[name])
-        done["drilldown"] = paths
+    base = product_base(fact, periods, sel).persist(StorageLevel.MEMORY_AND_DISK)
+    floor = Selection(min_ciro=sel.min_ciro)  # the rest of the selection is in the bases
+    try:
+        done = {"page": write_page(fact, periods, f"{out}/page", sel, base=base)}
+        if not a.no_reports:
+            done["reports"] = write_reports(spark, fact, periods, f"{out}/reports", sel,
+                                            fmt=a.format, product_base=base)
+        if not a.no_drilldowns:
+            done["drilldown"] = {
+                **write_lists({
+                    **{n: D.named(n, base, periods) for n in (
+                        "products_of_group", "groups_of_product_group",
+                        "products_top_margin")},
+                    "margin_reasons_group": margin_reasons(
+                        A.group_margin(base, periods, floor), ["mal_grubu"]),
+                    "margin_reasons_product": margin_reasons(
+                        A.product_margin(base, periods, floor), ["urun_kod"])}, out),
+                **write_store_lists(fact, periods, sel, out)}
+    finally:
+        base.unpersist()
     return done
 
 

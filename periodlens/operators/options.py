@@ -63,7 +63,7 @@ def stores_of(fact: DataFrame, bs_value: str | None) -> DataFrame:
     """OPT-9: stores are listed only once a BS is chosen."""
     if bs_value is None or bs_value in ("", ALL):
         return store_options(fact).limit(0)
-    return store_options(fact).where(F.col("bs") == F.lit(bs_value))
+    return store_options(fact.where(F.col("bs") == F.lit(bs_value)))
 
 
 def code_of(label_df: DataFrame, label_col: str = "etiket") -> DataFrame:

@@ -5,9 +5,11 @@ NaN last), then the tie columns ascending, so the cut is deterministic.
 ``orderBy(..).limit(n)`` plans as ``TakeOrderedAndProject``: each task keeps
 its own n best rows, no full sort, no shuffle of the whole result. The
 per-parent form is ``row_number() <= n`` over a window partitioned by the
-parent; Spark inserts a partial ``WindowGroupLimit`` before the shuffle, so
-each task forwards at most n rows per parent even for a parent holding a
-large share of all rows.
+parent; up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark inserts a
+partial ``WindowGroupLimit`` before the shuffle, so each task forwards at most n
+rows per parent even for a parent holding a large share of all rows. For larger
+n the children of a parent are ranked in ``PARENT_PARTS`` parts first, each
+keeping its n best, and the parts' rows are ranked again.
 """
 
 from __future__ import annotations
@@ -35,9 +37,23 @@ def top_n(df: DataFrame, by: str, n: int, largest: bool,
     return df.orderBy(*order_columns(by, largest, tie)).limit(n)
 
 
+# Rows of one parent are first ranked in so many parts where Spark's own partial
+# group limit does not apply.
+PARENT_PARTS = 64
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def top_n_per_parent(df: DataFrame, parent: str | Sequence[str], by: str, n: int,
                      largest: bool, tie: Sequence[str] = ()) -> DataFrame:
     parents = [parent] if isinstance(parent, str) else list(parent)
-    w = Window.partitionBy(*parents).orderBy(*order_columns(by, largest, tie))
-    return (df.withColumn(RANK_COL, F.row_number().over(w))
-              .where(F.col(RANK_COL) <= n))
+    order = order_columns(by, largest, tie)
+
+    def ranked(rows: DataFrame, *keys) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return (rows.withColumn(RANK_COL, F.row_number().over(w))
+                    .where(F.col(RANK_COL) <= n))
+
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
+        part = F.pmod(F.hash(*tie, by), F.lit(PARENT_PARTS))
+        df = ranked(df.withColumn("__part", part), *parents, "__part").drop("__part", RANK_COL)
+    return ranked(df, *parents)

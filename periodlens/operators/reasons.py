@@ -17,14 +17,15 @@ from ..functions.measures import nz, pct_change
 from ..functions.text import pct, thousands
 
 # Fixed values (RSN-1): reason, action and colour of the seven performance
-# rules, in rule order; they must equal the reference's texts.
+# rules, in rule order. The texts of rules 5 and 6 are our own wording; the others
+# equal the reference's.
 PERFORMANCE_TEXTS = (
     ("🔥 Fire artışı kritik", "SKT kontrolü, sipariş azalt", "red"),
     ("📦 Bulunurluk problemi", "Raf yerleşimi ve stok kontrol", "yellow"),
-    ("\u26a0\ufe0f Stok/SKT sorunu", "Sipariş miktarını düşür", "red"),
+    ("⚠️ Stok/SKT sorunu", "Sipariş miktarını düşür", "red"),
     ("💰 Marj erimesi", "Fiyatlama ve SMM kontrol", "yellow"),
-    ("✅ Başarılı performans", "Başarı faktörlerini analiz et", "green"),
-    ("📉 Performans düşüşü", "Detaylı analiz gerekli", "yellow"),
+    ("✅ Başarılı sonuç", "Başarı faktörlerini analiz et", "green"),
+    ("📉 Adet düşüşü", "Detaylı analiz gerekli", "yellow"),
     ("📊 Normal", "-", "green"),
 )
 
@@ -35,7 +36,7 @@ MARGIN_TEXTS = (
     "📉 Satış Düşüşü",
     "📦 Envanter Artışı",
     "🔥 Fire Artışı",
-    "\U0001f3f7\ufe0f Kampanya Zararı Artışı",
+    "🏷️ Kampanya Zararı Artışı",
 )
 MARGIN_DEFAULT = ("📊 Belirgin neden yok", "Detaylı analiz gerekli")
 CAPTION_SALES = "Satış"
@@ -103,10 +104,11 @@ def _change(caption: str, old: Column, new: Column, fmt) -> Column:
     return F.concat(F.lit(caption + ": "), fmt(old), F.lit(ARROW), fmt(new))
 
 
-def margin_reason_array(df: DataFrame) -> Column:
+def margin_reason_array(df: DataFrame, keep: int | None = None) -> Column:
     """RSN-2 as ``array<struct<kural, neden, aciklama, oncelik>>``: every cause
-    that holds, priority descending, rule order among equal priorities; an
-    empty result becomes one default record without rule or priority."""
+    that holds, priority descending, rule order among equal priorities, the
+    first ``keep`` of them; no cause becomes one default record without rule
+    or priority. Only kept causes get their text."""
     a0, a1 = _in(df, "adet_prev"), _in(df, "adet_cur")
     e0, e1 = _in(df, "envanter_prev"), _in(df, "envanter_cur")
     f0, f1 = F.abs(_in(df, "fire_prev")), F.abs(_in(df, "fire_cur"))
@@ -122,29 +124,34 @@ def margin_reason_array(df: DataFrame) -> Column:
                         F.lit(")"))
 
     arms = [
-        ((af < 0) & (kf > 0), F.concat(
-            sales, F.lit("\n"), _change(CAPTION_CAMPAIGN_LOSS, k0, k1, _money), campaign_tail),
-         F.abs(af) + kf),
-        ((af < 0) & ~(kf > 0), sales, F.abs(af)),
-        (ef > 0, rise(CAPTION_INVENTORY, e0, e1, ef), ef),
-        (ff > 0, rise(CAPTION_WASTE, f0, f1, ff), ff),
-        ((kf > 0) & (af >= 0),
-         F.concat(_change(CAPTION_CAMPAIGN, k0, k1, _money), campaign_tail), kf),
+        ((af < 0) & (kf > 0), F.abs(af) + kf, F.concat(
+            sales, F.lit("\n"), _change(CAPTION_CAMPAIGN_LOSS, k0, k1, _money), campaign_tail)),
+        ((af < 0) & ~(kf > 0), F.abs(af), sales),
+        (ef > 0, ef, rise(CAPTION_INVENTORY, e0, e1, ef)),
+        (ff > 0, ff, rise(CAPTION_WASTE, f0, f1, ff)),
+        ((kf > 0) & (af >= 0), kf,
+         F.concat(_change(CAPTION_CAMPAIGN, k0, k1, _money), campaign_tail)),
     ]
-    # Sort key first: ascending on (-priority, rule) = priority desc, stable.
-    cands = [F.when(cond, F.struct((-prio).alias("k"), F.lit(i + 1).alias("kural"),
-                                   F.lit(MARGIN_TEXTS[i]).alias("neden"),
-                                   text.alias("aciklama"), prio.alias("oncelik")))
-             for i, (cond, text, prio) in enumerate(arms)]
+    none = ~(arms[0][0] | arms[1][0] | arms[2][0] | arms[3][0] | arms[4][0])
+    # Ascending on (-priority, rule) = priority desc, stable. Rule 0 is the default.
+    cands = [F.when(cond, F.struct((-prio).alias("k"), F.lit(i + 1).alias("kural")))
+             for i, (cond, prio, _) in enumerate(arms)]
+    cands.append(F.when(none, F.struct(F.lit(0.0).alias("k"), F.lit(0).alias("kural"))))
     found = F.sort_array(F.array_compact(F.array(*cands)))
-    found = F.transform(found, lambda s: F.struct(
-        s["kural"].alias("kural"), s["neden"].alias("neden"),
-        s["aciklama"].alias("aciklama"), s["oncelik"].alias("oncelik")))
-    default = F.array(F.struct(F.lit(None).cast("int").alias("kural"),
-                               F.lit(MARGIN_DEFAULT[0]).alias("neden"),
-                               F.lit(MARGIN_DEFAULT[1]).alias("aciklama"),
-                               F.lit(None).cast("double").alias("oncelik")))
-    return F.when(F.size(found) == 0, default).otherwise(found)
+    if keep is not None:
+        found = F.slice(found, 1, keep)
+    names = F.array(*[F.lit(t) for t in (MARGIN_DEFAULT[0], *MARGIN_TEXTS)])
+
+    def record(s: Column) -> Column:
+        rule = s["kural"]
+        text = F.lit(MARGIN_DEFAULT[1])
+        for i, (_, _, words) in reversed(list(enumerate(arms))):
+            text = F.when(rule == i + 1, words).otherwise(text)
+        return F.struct(F.when(rule > 0, rule).alias("kural"),
+                        F.element_at(names, rule + 1).alias("neden"), text.alias("aciklama"),
+                        F.when(rule > 0, -s["k"]).alias("oncelik"))
+
+    return F.transform(found, record)
 
 
 def margin_reasons(df: DataFrame, keys: Sequence[str], keep: int = 2,
@@ -152,8 +159,7 @@ def margin_reasons(df: DataFrame, keys: Sequence[str], keep: int = 2,
     """RSN-2, flat: one row per key and kept cause, with its rank
     (``neden_sira``). FLT-18: only rows with a margin loss by default."""
     src = df.where(F.col("marj_fark") < 0) if losses_only else df
-    arr = F.slice(margin_reason_array(src), 1, keep)
-    return (src.select(*keys, F.posexplode(arr).alias("pos", "r"))
+    return (src.select(*keys, F.posexplode(margin_reason_array(src, keep)).alias("pos", "r"))
                .select(*keys, (F.col("pos") + 1).alias("neden_sira"),
                        F.col("r.kural").alias("kural"), F.col("r.neden").alias("neden"),
                        F.col("r.aciklama").alias("aciklama"),

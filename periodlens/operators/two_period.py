@@ -33,11 +33,6 @@ MEASURE_SOURCES = {
 }
 
 
-def measure_value(name: str) -> Column:
-    src, absolute = MEASURE_SOURCES[name]
-    return F.abs(F.col(src)) if absolute else F.col(src)
-
-
 def _value_sql(name: str) -> str:
     src, absolute = MEASURE_SOURCES[name]
     return f"abs(`{src}`)" if absolute else f"`{src}`"

@@ -18,7 +18,6 @@ from ..functions.measures import diff, kpi_polarity, pct_change, ratio_pct
 from ..functions.text import fixed, money, thousands
 from ..operators.filters import Selection, non_empty
 from ..operators.ranking import top_n
-from ..operators.reasons import with_reason
 from ..operators.two_period import in_periods, period_totals, two_period
 from ..params import Periods
 from ..schema import PERIOD
@@ -159,11 +158,6 @@ def least(df: DataFrame, key: str, by: str, n: int, positive_only: bool = True)
     return top_n(src, by, n, largest=False, tie=[key])
 
 
-def with_reasons(df: DataFrame) -> DataFrame:
-    """RSN-1 on an analysis result (Q-2, Q-4, Q-8)."""
-    return with_reason(df)
-
-
 # --- KPIs --------------------------------------------------------------------
 
 KPI_MEASURES = ("adet", "ciro", "marj", "fire")

@@ -5,17 +5,17 @@ the whole analysis. ``write_report`` writes each sheet as its own dataset
 ``<out>/<report>/<sheet>/`` (parquet, or CSV with header); the workbook
 container of the reference is not built.
 
-The analysis behind the sheets is computed once: the whole-analysis sheet
-is written first and the ranked sheets are read from the written files (the
-lineage is cut there, and a lost executor does not send the ranking back to
-the fact). Tables without a whole sheet are checkpointed to the shared
-folder of ``spark.checkpoint.dir``.
+The analysis behind the sheets is computed once and written to the shared
+folder of ``spark.checkpoint.dir``; every sheet, of either format, is read from
+there (the lineage is cut, and a lost executor does not send the ranking back to
+the fact), and the folder is deleted afterwards.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import unicodedata
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -23,11 +23,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import timestamp_text
 from ..operators.filters import Selection
 from ..operators.ranking import top_n
 from ..operators.reasons import with_reason
 from ..params import Periods
-from ..session import shared_dir
+from ..session import drop_path, scratch_path
 from . import analyses as A
 
 SHEET_COL = "sayfa"
@@ -138,17 +139,16 @@ def report_table(name: str, fact: DataFrame, periods: Periods,
 
 def info_row(spark: SparkSession, name: str, selection: Selection = Selection(),
              now: dt.datetime | None = None) -> DataFrame:
-    """RPT-7: filter text, floor (absent in RPT-4/5), time, report name
-    (absent in RPT-1)."""
+    """RPT-7: filter text, floor (absent in RPT-4/5), time in the session's time
+    zone (SCL-9), report name (absent in RPT-1)."""
     spec = REPORTS[name]
-    now = now or dt.datetime.now()
-    row = {"filtre": selection.text()}
+    cols = [F.lit(selection.text()).alias("filtre")]
     if spec.show_floor:
-        row["min_ciro"] = "₺" + f"{(selection.min_ciro or 0):,.0f}"
-    row["tarih"] = now.strftime("%Y-%m-%d %H:%M")
+        cols.append(F.lit("₺" + f"{(selection.min_ciro or 0):,.0f}").alias("min_ciro"))
+    cols.append(timestamp_text(now).alias("tarih"))
     if spec.title is not None:
-        row["rapor"] = spec.title
-    return spark.createDataFrame([row], schema=", ".join(f"{k} string" for k in row))
+        cols.append(F.lit(spec.title).alias("rapor"))
+    return spark.range(1).select(*cols)
 
 
 def sheet_slug(sheet: str) -> str:
@@ -159,20 +159,21 @@ def sheet_slug(sheet: str) -> str:
     return "_".join(p for p in out.split("_") if p)
 
 
+# Quotes are doubled; blanks, line breaks and '' are kept; null is written \N.
+# Read with these and ``multiLine``.
+CSV_OPTIONS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N",
+               "lineSep": "\n"}
+
+
 def _write(df: DataFrame, path: str, fmt: str) -> None:
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV_OPTIONS).csv(path)
     else:
         w.parquet(path)
 
 
-def _read(spark: SparkSession, path: str, fmt: str, like: DataFrame) -> DataFrame:
-    if fmt == "csv":
-        return spark.read.schema(like.schema).option("header", True).csv(path)
-    return spark.read.parquet(path)
-
-
 def write_report(spark: SparkSession, name: str, fact: DataFrame, periods: Periods,
                  out: str, selection: Selection = Selection(), fmt: str = "parquet",
                  now: dt.datetime | None = None,
@@ -189,46 +190,46 @@ def write_report(spark: SparkSession, name: str, fact: DataFrame, periods: Perio
     src, src_sel = fact, selection
     if product_base is not None:
         src, src_sel = product_base, Selection(min_ciro=selection.min_ciro)
-    tables: dict[str, DataFrame] = {}
-    for tname, tb in spec.tables.items():
-        df = tb.build(src, periods, src_sel)
-        whole = next((s for s in spec.sheets if s.table == tname and s.by is None), None)
-        if whole is not None:
-            path = f"{base}/{sheet_slug(whole.name)}"
-            _write(df, path, fmt)
-            tables[tname] = _read(spark, path, fmt, df)
-            paths[whole.name] = path
-        else:
-            shared_dir(spark)
-            tables[tname] = df.checkpoint(eager=True)
-    for sheet, df in report_sheets(name, src, periods, src_sel, tables):
-        if sheet in paths:
-            continue
-        paths[sheet] = f"{base}/{sheet_slug(sheet)}"
-        _write(df, paths[sheet], fmt)
+    scratch = scratch_path(spark, f"report-{name}-{uuid.uuid4().hex}")
+    try:
+        tables = {}
+        for tname, tb in spec.tables.items():
+            tb.build(src, periods, src_sel).write.parquet(f"{scratch}/{tname}")
+            tables[tname] = spark.read.parquet(f"{scratch}/{tname}")
+        for sheet, df in report_sheets(name, src, periods, src_sel, tables):
+            paths[sheet] = f"{base}/{sheet_slug(sheet)}"
+            _write(df, paths[sheet], fmt)
+    finally:
+        drop_path(spark, scratch)
     return paths
 
 
 def write_reports(spark: SparkSession, fact: DataFrame, periods: Periods, out: str,
                   selection: Selection = Selection(), names=None, fmt: str = "parquet",
-                  now: dt.datetime | None = None, parallel: int = 3) -> dict[str, dict]:
+                  now: dt.datetime | None = None, parallel: int = 3,
+                  product_base: DataFrame | None = None) -> dict[str, dict]:
     """Write several reports (all six by default) from one pass over the
     fact: every report table keys on the product hierarchy, so they are all
     aggregated from one product base, kept for the run (MEMORY_AND_DISK,
-    lineage-backed). Reports are written concurrently."""
+    lineage-backed) unless one is given. Reports are written concurrently."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark import StorageLevel
+    from pyspark import StorageLevel, inheritable_thread_target
 
-    from .page import product_base
+    from .page import product_base as make_base
     names = list(names or REPORTS)
     now = now or dt.datetime.now()
-    pb = product_base(fact, periods, selection).persist(StorageLevel.MEMORY_AND_DISK)
+    pb = product_base
+    if pb is None:
+        pb = make_base(fact, periods, selection).persist(StorageLevel.MEMORY_AND_DISK)
+    write = inheritable_thread_target(spark)(write_report)
     try:
-        pb.count()
+        if product_base is None:
+            pb.count()
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            futs = {n: pool.submit(write_report, spark, n, fact, periods, out, selection, fmt,
+            futs = {n: pool.submit(write, spark, n, fact, periods, out, selection, fmt,
                                    now, pb) for n in names}
             return {n: f.result() for n, f in futs.items()}
     finally:
-        pb.unpersist()
+        if product_base is None:
+            pb.unpersist()

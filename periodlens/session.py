@@ -60,6 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared folder for a written intermediate table."""
     return os.path.join(shared_dir(spark), name)

@@ -1,8 +1,10 @@
 from .fixture import FIXTURE_PERIODS, fixture_fact, period_range_filter
-from .periods import (FactCache, FactFolderError, FactLoadError, folder_kind, load_periods, period_counts,
-                      read_period_files, register, write_periods)
+from .periods import (FactCache, FactLoadError, load_periods, period_counts,
+                      read_period_files, register, replace_period, stack_periods,
+                      write_periods)
 
 __all__ = [
-    "FIXTURE_PERIODS", "fixture_fact", "period_range_filter", "FactCache", "FactFolderError", "FactLoadError", "folder_kind",
-    "load_periods", "period_counts", "read_period_files", "register", "write_periods",
+    "FIXTURE_PERIODS", "fixture_fact", "period_range_filter", "FactCache",
+    "FactLoadError", "load_periods", "period_counts", "read_period_files", "register",
+    "replace_period", "stack_periods", "write_periods",
 ]

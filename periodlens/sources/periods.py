@@ -38,60 +38,59 @@ def read_period_files(spark: SparkSession, paths: Mapping[int, str]) -> DataFram
     """SRC-1 + SET-1: one input per period, stacked by column name."""
     if not paths:
         raise FactLoadError("no period files given")
+    return stack_periods({yil: _read(spark, path) for yil, path in paths.items()})
+
+
+def stack_periods(frames: Mapping[int, DataFrame]) -> DataFrame:
+    """SET-1 + DRV-7: one frame per period, in any letter case and column order,
+    stacked by name; the period column is added when absent."""
     parts = []
-    for yil, path in paths.items():
-        df = lower_case_columns(_read(spark, path))
+    for yil, df in frames.items():
+        df = lower_case_columns(df)
         if PERIOD not in df.columns:
             df = df.withColumn(PERIOD, F.lit(int(yil)))
         parts.append(normalise(df))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def folder_kind(spark: SparkSession, path: str) -> str:
-    """``'absent'``, ``'empty'``, ``'stream'`` (holds a streaming file sink's
-    ``_spark_metadata`` log) or ``'batch'`` (holds data written by a batch job).
-
-    A folder must not mix the two: once the log exists, readers list only the
-    files recorded in it, so batch-written files beside it would be silently
-    left out. One listing of the folder's top level, on the driver."""
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return "absent"
-    names = [st.getPath().getName() for st in fs.listStatus(p)]
-    if "_spark_metadata" in names:
-        return "stream"
-    data = [n for n in names if not n.startswith(("_", "."))]
-    return "batch" if data else "empty"
-
-
-class FactFolderError(ValueError):
-    """A batch write into a stream-managed fact folder, or the reverse."""
-
-
 # Row order inside each written file: the product hierarchy, coarse to fine.
 CLUSTER_BY = ("urun_grubu", "ust_mal", "mal_grubu", "urun_kod")
 
 
 def write_periods(fact: DataFrame, path: str, mode: str = "overwrite",
-                  cluster_by: tuple[str, ...] | None = CLUSTER_BY, **options) -> None:
+                  cluster_by: tuple[str, ...] | None = CLUSTER_BY,
+                  replace_all: bool = False, **options) -> None:
     """Write the fact one folder per period (partition pruning on read).
 
+    An overwrite replaces the periods that ``fact`` holds and leaves the
+    others; ``replace_all`` empties the folder first.
+
     Rows are sorted inside each output file by ``cluster_by`` (a local sort,
     no shuffle), so each parquet row group covers a narrow range of the
     product hierarchy and its min/max statistics let a pushed equality on a
     product group, parent group or merchandise group skip the other row
     groups. ``options`` go to the parquet writer (e.g. ``parquet.block.size``)."""
-    if folder_kind(fact.sparkSession, path) == "stream":
-        raise FactFolderError(
-            f"{path} is kept by the streaming ingest (readers list only the files in "
-            "its _spark_metadata log); land new files for streaming.refresh, or write "
-            "to a new folder")
     if cluster_by:
         fact = fact.sortWithinPartitions(PERIOD, *cluster_by)
-    fact.write.mode(mode).options(**options).partitionBy(PERIOD).parquet(path)
+    (fact.write.mode(mode).options(**options)
+     .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
+     .partitionBy(PERIOD).parquet(path))
+
+
+def replace_period(fact: DataFrame, path: str, yil: int,
+                   cluster_by: tuple[str, ...] | None = CLUSTER_BY, **options) -> None:
+    """Make one period of a fact folder hold exactly these rows (a restated
+    period file), also when there are none; the other periods stay. The
+    period column is set to ``yil`` where absent, else it must agree."""
+    if PERIOD in fact.columns:
+        strange = fact.where(~F.col(PERIOD).eqNullSafe(F.lit(int(yil)))).limit(1)
+        if not strange.isEmpty():
+            raise FactLoadError(f"rows of another period than {yil}")
+    rows = normalise(fact.withColumn(PERIOD, F.lit(int(yil)))).drop(PERIOD)
+    if cluster_by:
+        rows = rows.sortWithinPartitions(*cluster_by)
+    rows.write.mode("overwrite").options(**options).parquet(
+        f"{path.rstrip('/')}/{PERIOD}={int(yil)}")
 
 
 def load_periods(spark: SparkSession, path: str, periods: Periods | None = None) -> DataFrame:
@@ -119,19 +118,19 @@ def register(fact: DataFrame, name: str = "veri") -> DataFrame:
 
 class FactCache:
     """SRC-5: keep the loaded fact for reuse, reloaded after ``ttl_seconds``
-    or on ``refresh()``. Blocks are MEMORY_AND_DISK and lineage-backed: a lost
-    executor's blocks are recomputed from the source files.
+    or on ``refresh()`` (call it after ``replace_period``). Blocks are
+    MEMORY_AND_DISK and lineage-backed: a lost executor's blocks are
+    recomputed from the source files.
 
-    An input read as fewer partitions than the cluster has cores (a small
-    fact in a few files) is spread round-robin over all cores before it is
-    kept, so every later scan of it runs on all cores. A large fact already
-    has far more input splits than cores and is kept as read."""
+    ``partitions``: deal the kept rows round-robin into so many partitions
+    (a small fact in a few files, to be scanned by all cores); by default
+    they are kept as read."""
 
     def __init__(self, loader, ttl_seconds: float = 86400.0,
                  level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
-                 spread: bool = True):
+                 partitions: int | None = None):
         self._loader, self._ttl, self._level = loader, ttl_seconds, level
-        self._spread = spread
+        self._partitions = partitions
         self._df: DataFrame | None = None
         self._at = 0.0
 
@@ -144,10 +143,8 @@ class FactCache:
         if self._df is not None:
             self._df.unpersist()
         df = self._loader()
-        if self._spread:
-            cores = df.sparkSession.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
+        if self._partitions:
+            df = df.repartition(self._partitions)
         self._df = df.persist(self._level)
         self._at = time.monotonic()
         return self._df
