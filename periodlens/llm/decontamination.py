@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import schema_of
+from .scratch import schema_of, send
 from .words import range_hashes, slices, text_bytes, window_hashes, window_starts
 
 NGRAM = 3
@@ -86,15 +86,16 @@ class Seeds:
 def count_grams(docs: DataFrame, items: list[np.ndarray], text: str) -> np.ndarray:
     """How often each n-gram of the items stands in the texts, in the items' order."""
     all_grams = Seeds(items)
-    sent = docs.sparkSession.sparkContext.broadcast(all_grams)
+    sent = send(docs.sparkSession, all_grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(sent.value.keys), np.int64)
+        known = sent()
+        counts = np.zeros(len(known.keys), np.int64)
         for b in (part for whole in batches for part in slices(whole, "__text")):
             words, first = bare_words(b.column("__text"))
             grams = window_hashes(words, NGRAM)[window_starts(first, NGRAM)] \
                 if len(words) >= NGRAM else np.zeros(0, np.uint64)
-            counts += np.bincount(sent.value.find(grams)[1], minlength=len(counts))
+            counts += np.bincount(known.find(grams)[1], minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])],
                                          names=["gram", "n"])
@@ -197,12 +198,13 @@ def with_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def _find_leaks(docs: DataFrame, seeds: Seeds, ids: list, threshold: float, text: str
                 ) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
+    sent = send(docs.sparkSession, seeds)
     schema = schema_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent()
         for b in (part for whole in batches for part in slices(whole, text)):
-            found = slice_leaks(b.column(text), sent.value, threshold)
+            found = slice_leaks(b.column(text), known, threshold)
             if found:
                 leaks = b.column("leaks").to_pylist()
                 for row, item, score, first, last in found:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, schema_of
+from .scratch import Scratch, schema_of, send
 from .words import mix, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -217,10 +217,10 @@ def fit(docs: DataFrame, pieces: list[str], scratch: Scratch, lang: str = "lang"
 
 def em_step(words: DataFrame, model: Model) -> Model:
     spark = words.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = send(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent()
         finder, into = Pieces(m.pieces), np.zeros(m.p.shape)
         number = {name: k for k, name in enumerate(m.languages)}
         for b in batches:
@@ -262,11 +262,11 @@ def predict(docs: DataFrame, models: list[Model], keep: tuple[str, ...] = ("doc_
 
 def _score(docs: DataFrame, model: Model) -> DataFrame:
     """Brings the running best language and the sum over languages up to date."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     schema = schema_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent()
         finder = Pieces(m.pieces)
         place: dict[str, int] = {}  # of the words scored so far
         known = np.zeros((0, len(m.languages)))

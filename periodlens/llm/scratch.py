@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -34,6 +35,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def send(spark: SparkSession, value):
+    """Broadcasts a value of this package's classes; returns a function that gives it
+    in a task. The value travels with its class, so workers need no copy of the code."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(packed.value)
+
+
 def schema_of(df: DataFrame, extra: str = "") -> T.StructType:
     """The DataFrame's columns, and further ones as DDL, all nullable."""
     fields = [T.StructField(f.name, f.dataType) for f in df.schema]

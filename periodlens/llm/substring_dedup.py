@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import schema_of
+from .scratch import schema_of, send
 from .words import mix, range_hashes, slices, text_bytes, window_hashes, window_starts, word_bounds
 from .zipped import zipped
 
@@ -104,16 +104,17 @@ def grow_tree(docs: DataFrame, width: int = WIDTH, fits: int = GROUP_SUFFIXES
     tree = PrefixTree()
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     for level in range(1, LEVELS + 1):
-        sent = docs.sparkSession.sparkContext.broadcast(tree)
+        sent = send(docs.sparkSession, tree)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(len(sent.value.child), np.int64)
+            known = sent()
+            counts = np.zeros(len(known.child), np.int64)
             for b in (part for whole in batches for part in slices(whole, "__text")):
                 data, at = text_bytes(b.column(0))
                 starts, ends, first = word_bounds(data, at)
                 begin = window_starts(first, width)
                 codes = word_codes(range_hashes(data, starts, ends))
-                counts += np.bincount(sent.value.branches(codes, begin), minlength=len(counts))
+                counts += np.bincount(known.branches(codes, begin), minlength=len(counts))
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])],
                                              names=["branch", "n"])
@@ -307,13 +308,14 @@ def repeats(docs: DataFrame, tree: PrefixTree, groups: int, targets: int, width:
             ) -> DataFrame:
     """target and packed repeats: all starts of windows of ``width`` words whose words
     also start earlier, one row per group (or slice) and target."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    sent = send(docs.sparkSession, tree)
     src = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent()
         for whole in batches:
             for b in slices(whole, "__text", SLICE):
-                yield from pack_slice(b, sent.value, groups, targets, width)
+                yield from pack_slice(b, known, groups, targets, width)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
