@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts and benchmark items are read as words without case and ASCII punctuation. All
-n-grams of the items are counted over the whole corpus; an item's seeds are its
-rarest ``SEED_SHARE`` (``SEEDS_LEAST`` at least). Where a text holds a seed, the
+n-grams of the items are counted over the whole corpus; an item's seeds are those
+that are rare for it: not above ``RARE`` times the median of its n-grams, and its
+``SEEDS_LEAST`` rarest in any case. (Copies of an item raise all its n-grams alike, so
+a much copied item keeps its seeds; a common phrase stands out.) Where a text holds a seed, the
 stretch around it that could hold the item is aligned with the item word by word
 (match +2, other word -1, left out or put in -1); the best local alignment over the
 item's best possible score is the leak's score. Edited and paraphrased copies that
@@ -32,9 +34,9 @@ from .scratch import schema_of, send
 from .words import range_hashes, slices, text_bytes, window_hashes, window_starts
 
 NGRAM = 3
-SEED_SHARE, SEEDS_LEAST = 0.5, 8
+RARE, SEEDS_LEAST = 4, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-THRESHOLD = 0.5
+THRESHOLD = 0.45
 ITEMS_AT_ONCE = 50_000
 PAIR_CELLS = 1 << 21
 LEAKS = "leaks array<struct<item_id:long,score:double,first_word:int,last_word:int>>"
@@ -111,13 +113,14 @@ def count_grams(docs: DataFrame, items: list[np.ndarray], text: str) -> np.ndarr
 
 
 def rare_seeds(items: list[np.ndarray], counts: np.ndarray) -> Seeds:
-    """Of each item the rarest n-grams (the earlier of equals)."""
+    """Of each item the n-grams that are rare for it (the earlier of equals first)."""
     wanted = np.zeros(len(counts), bool)
     at = 0
     for w in items:
         n = max(len(w) - NGRAM + 1, 0)
-        take = max(SEEDS_LEAST, int(np.ceil(n * SEED_SHARE)))
-        wanted[at + np.argsort(counts[at:at + n], kind="stable")[:take]] = True
+        own = counts[at:at + n]
+        wanted[at:at + n] = own <= RARE * max(np.median(own), 1) if n else False
+        wanted[at + np.argsort(own, kind="stable")[:SEEDS_LEAST]] = True
         at += n
     return Seeds(items, wanted)
 

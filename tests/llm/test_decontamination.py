@@ -60,7 +60,7 @@ def test_finds_whole_and_edited_copies_and_leaves_clean_texts(spark, documents,
         if k % 3 == 0:
             n = rng.randrange(len(items))
             copy = [items[n], items[n].upper().replace(" ", ", "),
-                    edited(rng, items[n], 0.15)][k // 3 % 3]
+                    edited(rng, items[n], rng.choice([0.1, 0.2, 0.3]))][k // 3 % 3]
             at = rng.randint(0, len(text))
             text[at:at] = copy.split()
             want[k] = n
