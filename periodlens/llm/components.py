@@ -44,6 +44,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         rest = scratch.write(oriented(after), f"{name}-edges{number + 1}")
         scratch.drop(f"{name}-edges{number}", *([labels_at] if labels_at and at else []))
         left, labels_at, number = rest, at or labels_at, number + 1
+    scratch.drop(*(n for n in scratch.names if n.startswith(f"{name}-edges")))
     if labels is None:
         return spark.createDataFrame([], oriented(edges).selectExpr(
             "hi AS node", "lo AS root").schema)

@@ -91,7 +91,8 @@ class Pieces:
             h = np.where(k < size, (h + letters[:, k] + np.uint64(1)) * _R, h)
         return mix(h)
 
-    def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def lattice(self, words: list[str], at_once: int = BATCH_WORDS
+                ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For words of one length after another: their indices, and ids[length - 1,
         word, end]: the piece that ends there, ``size`` for an unknown letter, -1 for none."""
         if not words:
@@ -100,8 +101,8 @@ class Pieces:
         order = np.argsort(lengths, kind="stable")
         bounds = np.flatnonzero(np.r_[True, np.diff(lengths[order]) > 0, True])
         for a, b in zip(bounds[:-1], bounds[1:]):
-            for at in range(a, b, BATCH_WORDS):
-                some = order[at:min(at + BATCH_WORDS, b)]
+            for at in range(a, b, at_once):
+                some = order[at:min(at + at_once, b)]
                 n = int(lengths[some[0]])
                 text = "".join(WORD + words[i] for i in some)
                 letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -212,6 +213,7 @@ def fit(docs: DataFrame, pieces: list[str], scratch: Scratch, lang: str = "lang"
         for _ in range(steps):
             model = em_step(words.where(F.col("lang").isin(group)), model)
         models.append(model)
+    scratch.drop("words")
     return models
 
 
@@ -277,7 +279,8 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
             fresh = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in place]
             place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
             logs = np.zeros((len(fresh), len(m.languages)))
-            for some, ids in finder.lattice(fresh):
+            # Sums are held per word and language: fewer words where there are many.
+            for some, ids in finder.lattice(fresh, 4 * BATCH_WORDS // max(4, m.p.shape[1])):
                 logs[some] = np.log(forward(ids, m.p)[-1])
             known = np.concatenate([known, logs])
             best, name, total = (b.column(c).to_pylist() for c in ("__best", "__lang", "__all"))

@@ -270,7 +270,8 @@ class CommonShingles:
         return 100 * common >= PERCENT * union
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
+def confirmed_links(docs: DataFrame, groups: DataFrame, text: str, scratch: Scratch
+                    ) -> DataFrame:
     """a, b of linked members of the candidate groups, by their full sets.
     ``groups``: id and group of every class that is in one; ``docs``: doc_id, text."""
     packed = zipped(docs.where("doc_id is not null"), text, ("doc_id",))
@@ -287,7 +288,6 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
                      pa.array([hashes[s:e].tobytes() for s, e in zip(first[:-1], first[1:])],
                               pa.binary())], names=["id", "group", "n", "set"])
 
-    scratch = Scratch(docs.sparkSession, "sets")
     full = scratch.write(rows.mapInArrow(sets, "id long, group long, n long, set binary"), "sets")
     large = (full.groupBy("group").agg(F.sum("n").alias("n"))
              .where(F.col("n") > GROUP_SHINGLES)
@@ -312,7 +312,9 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
                     ) -> DataFrame:
-    """``keep`` columns (doc_id among them), n_shingles, component_id and kept."""
+    """``keep`` columns (doc_id among them), n_shingles, component_id and kept. The
+    result is written; nothing else stays in the shared folder."""
+    keep = tuple(c for c in keep if c not in ("n_shingles", "component_id", "kept"))
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.write(with_signatures(docs, keep, text), "signatures")
     named = rows.where("n_shingles > 0 and doc_id is not null")
@@ -324,7 +326,8 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     roots = groups.select(F.col("root").alias("node"), "root").distinct()
     groups = groups.unionByName(roots).select(F.col("node").alias("id"),
                                               F.col("root").alias("group"))
-    links = confirmed_links(docs.select("doc_id", F.col(text).alias("text")), groups, "text")
+    links = confirmed_links(docs.select("doc_id", F.col(text).alias("text")), groups, "text",
+                            scratch)
     labels = components(links, scratch, "links")
     of_class = (classes.select("d1", "d2", "n_shingles", "id")
                 .join(labels.withColumnRenamed("node", "id"), "id", "left")
@@ -333,7 +336,10 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     found = rows.drop("sig").join(of_class, ["d1", "d2", "n_shingles"], "left")
     # Without words, a set belongs to no class: the document stays by itself.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return (found.withColumn("component_id", component)
-            .withColumn("kept", F.col("doc_id").isNull()
-                        | (F.col("doc_id") == F.col("component_id")))
-            .select(*keep, "n_shingles", "component_id", "kept"))
+    result = scratch.write(
+        found.withColumn("component_id", component)
+        .withColumn("kept", F.col("doc_id").isNull()
+                    | (F.col("doc_id") == F.col("component_id")))
+        .select(*keep, "n_shingles", "component_id", "kept"), "result")
+    scratch.keep_only("result")
+    return result

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import drop_path, scratch_path
 
 
 class Scratch:
@@ -19,20 +19,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.root = scratch_path(spark, f"{operator}-{uuid.uuid4().hex}")
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            drop_path(self.spark, self.path(name))
+            self.names.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
 
 
 def send(spark: SparkSession, value):
