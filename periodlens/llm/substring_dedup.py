@@ -38,7 +38,7 @@ from .zipped import zipped
 
 WIDTH = 20
 GROUP_SUFFIXES = 2_000_000
-SLICE = 1 << 23
+SLICE = 1 << 22
 CODE_BITS = 10  # of a word's hash in a prefix
 CODES = 1 << CODE_BITS
 LEVELS = 4  # of words in a prefix; a branch still too large is split by whole paths
