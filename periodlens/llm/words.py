@@ -17,7 +17,16 @@ _M64 = (1 << 64) - 1
 # An odd multiplier and its inverse modulo 2**64 turn prefix sums into substring hashes.
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
-_TABLES: dict = {}
+
+
+class Cache(dict):
+    """Values that a process makes for itself: they are not sent with functions."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_TABLES = Cache()
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

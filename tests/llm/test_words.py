@@ -47,6 +47,14 @@ def test_counts(rows):
         assert {k: got[k][i] for k in want} == want
 
 
+def test_functions_travel_without_cached_tables():
+    from pyspark import cloudpickle
+
+    data, at = text_bytes(pa.array(["some words"]))
+    range_hashes(data, *word_bounds(data, at)[:2])
+    assert len(cloudpickle.dumps(lambda: range_hashes(data, at[:1], at[1:]))) < 50_000
+
+
 def test_slices_cover_all_rows():
     b = pa.RecordBatch.from_arrays([pa.array([None, "x" * 50, "", "y" * 9, "z"] * 3)], ["text"])
     parts = list(slices(b, limit=10))
