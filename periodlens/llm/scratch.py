@@ -11,12 +11,23 @@ from pyspark.sql import types as T
 from ..session import drop_path, scratch_path
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB (or one row) in this session, unless it has a limit
+    of its own: a task then holds a few batches, however long the texts are."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 class Scratch:
     """Written tables of one operator call: they cut lineage and survive lost
     executors. ``drop`` deletes those that no later step reads; the rest stay
     as long as the returned DataFrame may be read."""
 
     def __init__(self, spark: SparkSession, operator: str):
+        small_batches(spark)
         self.spark = spark
         self.root = scratch_path(spark, f"{operator}-{uuid.uuid4().hex}")
         self.names: set[str] = set()
@@ -41,6 +52,7 @@ class Scratch:
 def send(spark: SparkSession, value):
     """Broadcasts a value of this package's classes; returns a function that gives it
     in a task. The value travels with its class, so workers need no copy of the code."""
+    small_batches(spark)
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(packed.value)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import schema_of
+from .scratch import schema_of, small_batches
 from .words import mix, range_hashes, row_sums, slices, text_bytes, window_hashes, \
     window_starts, word_bounds
 
@@ -82,6 +82,7 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 def with_text_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
                      counts: tuple[str, ...] = COUNTS) -> DataFrame:
     """``keep`` columns and the counts of every row."""
+    small_batches(docs.sparkSession)
     src = docs.select(*keep, F.col(text).alias("__text"))
     schema = schema_of(docs.select(*keep), ", ".join(f"{c} long" for c in counts))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, schema_of
+from .scratch import Scratch, schema_of, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern of that public vocabulary (a fixed value).
@@ -59,6 +59,7 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text",
                     keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns and n_tokens of every row."""
+    small_batches(docs.sparkSession)
     path = vocabulary
     src = docs.select(*keep, F.col(text).alias("__text"))
     schema = schema_of(docs.select(*keep), "n_tokens long")

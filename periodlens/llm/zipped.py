@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import schema_of
+from .scratch import schema_of, small_batches
 from .words import slices
 
 
 def zipped(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None
            ) -> DataFrame:
     """``keep`` columns (else all but the text) and the text as ``__zip``; null stays null."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != text] if keep is None else list(keep)
     schema = schema_of(docs.select(*names), "__zip binary")
 
