@@ -16,6 +16,7 @@ from periodlens.llm import decontamination, language_id, minhash_join, mixing, s
 from periodlens.llm.scratch import Scratch, schema_of
 from periodlens.llm.zipped import unzipped, zipped
 
+NEAR_PERCENT = 80  # links of the near-dedup stage; op9's contract alone has 85
 MIN_LANGUAGE_SCORE = 0.5  # below, no language is likelier than all others together
 
 
@@ -29,8 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id."""
-    kept = (minhash_join.near_duplicates(docs).where("kept and doc_id is not null")
-            .select("doc_id").distinct())
+    kept = (minhash_join.near_duplicates(docs, percent=NEAR_PERCENT)
+            .where("kept and doc_id is not null").select("doc_id").distinct())
     packed = zipped(docs.where("doc_id is not null")).join(kept, "doc_id", "left_semi")
     # Rows of one doc_id are copies or versions of one document.
     others = [c for c in packed.columns if c != "doc_id"]

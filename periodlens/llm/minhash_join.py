@@ -5,18 +5,19 @@ lower-cased; with fewer words the whole sequence; without words none). Documents
 equal sets are one class. Each class has a signature of ``COORDINATES`` minima.
 
 1. Classes are posted under coordinate-value pairs. Two classes that agree in
-   ``MATCHES`` coordinates share one of the first ``COORDINATES - MATCHES + 1`` of each
+   ``matches`` coordinates share one of the first ``COORDINATES - matches + 1`` of each
    in any common order of the pairs, so only that prefix is posted, rare pairs first.
 2. A list's members are merged: one member's collisions with all members not yet
-   merged are counted at once over all coordinates; those with ``MATCHES`` or more are
+   merged are counted at once over all coordinates; those with ``matches`` or more are
    merged and skipped from then on. What leaves a list is one edge per merged member.
 3. Components of these edges are the candidate groups. Within a group, the classes'
    full sets are compared in the same manner: links are pairs with
-   100 * intersection >= ``PERCENT`` * union, by count of common shingles.
+   100 * intersection >= ``percent`` * union, by count of common shingles.
 4. Components of the links give each document the smallest doc_id it reaches.
 
-A link at similarity 0.85 has 54 matches expected of 64; fewer than 40 have a
-probability of 2.4e-6 (1.6e-7 at 0.87), and a component is lost only with its last path.
+``percent`` sets ``matches``: the most that a link at that very similarity falls short of
+with a probability of at most ``MISSED``. At 0.85 that is 40 of 64 (2.4e-6; 1.6e-7 at
+0.87), at 0.80 it is 35 (1.2e-6); a component is lost only with its last path.
 
 Defined cases: null and empty texts are linked with nothing; equal sets are linked;
 rows with one doc_id count as one document in links, and exact repeats are all kept
@@ -31,6 +32,7 @@ blocks. Pairs are never written out; only edges that merge are, one per member."
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +46,22 @@ from .words import mix, range_hashes, slices, text_bytes, window_hashes, window_
 from .zipped import unzipped, zipped
 
 SHINGLE, PERCENT = 5, 85
-COORDINATES, MATCHES = 64, 40
+COORDINATES, MISSED = 64, 2.5e-6
 LIST = 4096
 GROUP_SHINGLES = 2_000_000
 CELLS = 1 << 16
 
 
+def matches_for(percent: int) -> int:
+    """The most coordinates that links at ``percent`` miss with at most ``MISSED``."""
+    p, short = percent / 100, 0.0
+    for m in range(COORDINATES):
+        short += comb(COORDINATES, m) * p ** m * (1 - p) ** (COORDINATES - m)
+        if short > MISSED:
+            return m
+    return COORDINATES
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the distinct shingles of row i are hashes[first[i]:first[i + 1]],
     sorted."""
@@ -137,10 +149,10 @@ def cell_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, matches: int) -> DataFrame:
     """key, id of every class under each key of its prefix that others share."""
     cells = classes.sparkSession.sparkContext.broadcast(cell_counts(classes))
-    size = COORDINATES - MATCHES + 1
+    size = COORDINATES - matches + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +221,7 @@ def merge_members(n: int, matches) -> np.ndarray:
     return label
 
 
-def list_edges(posted: DataFrame, classes: DataFrame) -> DataFrame:
+def list_edges(posted: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """a, b: merged members of the lists, each with the first of its merge."""
     large = (posted.groupBy("key").count().where(F.col("count") > LIST)
              .select("key", F.ceil(F.col("count") / LIST).alias("blocks")))
@@ -221,12 +233,12 @@ def list_edges(posted: DataFrame, classes: DataFrame) -> DataFrame:
             sig = _sig_matrix(table.column("sig"))
             size = np.diff(edges)
             two = edges[:-1][size == 2]
-            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= MATCHES]
+            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= matches]
             a, b = [ids[two]], [ids[two + 1]]
             for s, e in zip(edges[:-1][size > 2], edges[1:][size > 2]):
                 mine = sig[s:e]
                 label = merge_members(e - s, lambda x, rest: (mine[rest] == mine[x]).sum(axis=1)
-                                      >= MATCHES)
+                                      >= matches)
                 merged = np.flatnonzero(label != np.arange(e - s))
                 a.append(ids[s:e][merged])
                 b.append(ids[s:e][label[merged]])
@@ -245,7 +257,8 @@ class CommonShingles:
     """Counts the shingles that one member has in common with each of the others. The
     index covers the members not yet merged and is rebuilt when half of them are."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent = percent
         self.size = np.array([len(s) for s in sets])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         self.ids = np.split(ids, np.cumsum(self.size)[:-1])
@@ -267,11 +280,11 @@ class CommonShingles:
         at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
         common = np.bincount(self.owner[at], minlength=len(self.size))[rest]
         union = self.size[x] + self.size[rest] - common
-        return 100 * common >= PERCENT * union
+        return 100 * common >= self.percent * union
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, text: str, scratch: Scratch
-                    ) -> DataFrame:
+def confirmed_links(docs: DataFrame, groups: DataFrame, text: str, scratch: Scratch,
+                    percent: int) -> DataFrame:
     """a, b of linked members of the candidate groups, by their full sets.
     ``groups``: id and group of every class that is in one; ``docs``: doc_id, text."""
     packed = zipped(docs.where("doc_id is not null"), text, ("doc_id",))
@@ -299,7 +312,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, text: str, scratch: Scra
             a, b = [], []
             for s, e in zip(edges[:-1], edges[1:]):
                 members = [np.frombuffer(x, np.uint64) for x in blobs.slice(s, e - s).to_pylist()]
-                label = merge_members(e - s, CommonShingles(members).linked)
+                label = merge_members(e - s, CommonShingles(members, percent).linked)
                 merged = np.flatnonzero(label != np.arange(e - s))
                 a.append(ids[s:e][merged])
                 b.append(ids[s:e][label[merged]])
@@ -310,10 +323,12 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, text: str, scratch: Scra
             .mapInArrow(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
-                    ) -> DataFrame:
-    """``keep`` columns (doc_id among them), n_shingles, component_id and kept. The
-    result is written; nothing else stays in the shared folder."""
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+                    percent: int = PERCENT) -> DataFrame:
+    """``keep`` columns (doc_id among them), n_shingles, component_id and kept; links from
+    ``percent`` % similarity on. The result is written; nothing else stays in the shared
+    folder."""
+    matches = matches_for(percent)
     keep = tuple(c for c in keep if c not in ("n_shingles", "component_id", "kept"))
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.write(with_signatures(docs, keep, text), "signatures")
@@ -321,13 +336,13 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     classes = scratch.write(
         named.groupBy("d1", "d2", "n_shingles")
         .agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    posted = scratch.write(postings(classes), "postings")
-    groups = components(list_edges(posted, classes), scratch, "groups")
+    posted = scratch.write(postings(classes, matches), "postings")
+    groups = components(list_edges(posted, classes, matches), scratch, "groups")
     roots = groups.select(F.col("root").alias("node"), "root").distinct()
     groups = groups.unionByName(roots).select(F.col("node").alias("id"),
                                               F.col("root").alias("group"))
     links = confirmed_links(docs.select("doc_id", F.col(text).alias("text")), groups, "text",
-                            scratch)
+                            scratch, percent)
     labels = components(links, scratch, "links")
     of_class = (classes.select("d1", "d2", "n_shingles", "id")
                 .join(labels.withColumnRenamed("node", "id"), "id", "left")
