@@ -57,8 +57,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mixing.mix_sources(docs, keep=("lang", "n_chars"))
+    """What the mix takes of each document, counted in the mix itself."""
+    return mixed(docs).documents
+
+
+def mixed(docs: DataFrame) -> mixing.Mix:
+    return mixing.Mix(docs, keep=("lang", "n_chars"))
 
 
 STAGES = [("language_id", identify_language), ("near_dedup", near_dedup),
@@ -70,10 +74,20 @@ STAGES = [("language_id", identify_language), ("near_dedup", near_dedup),
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of ``documents``; every stage's result is written and read again."""
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all stages before the mix keep; each one's result is written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of ``documents`` is made; returns what it takes of each."""
+    return STAGES[-1][1](spark, cleaned(spark, sf_dir), sf_dir)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus of ``documents``: every shard's slots with their words."""
+    return mixed(cleaned(spark, sf_dir)).output

@@ -4,8 +4,10 @@ The words of each source, documents in order of doc_id, are packed into blocks o
 ``block_words``. Output shards draw how many of their slots each source fills
 (multinomial over what each source still has to give, so the drawn totals are the
 targets). The k-th slot of a source takes, in its (k / blocks)-th round, the block
-at place (k mod blocks) of that round's pseudorandom permutation. Slots and blocks
-are joined by (source, block).
+at place (k mod blocks) of that round's pseudorandom permutation. Documents are cut at
+the borders of groups of blocks, grouped by source and group, and joined with the slots:
+``output`` holds every slot of every shard with its block's text, and what is taken of
+a document is counted there.
 
 Targets: all words are shared by weight; no target exceeds ``max_repeats`` times
 its source, and what a source can't give is shared again among the others.
@@ -14,10 +16,13 @@ Defined cases: null and empty texts have size 0 and are never taken; a null
 source is a source like any other, last in order; documents of equal doc_id are
 ordered by size and text hash, exact repeats stand beside each other; an empty
 table gives an empty result; the same rows give the same mix whatever their
-partitions. Extra columns are ignored unless kept.
+partitions. Extra columns are ignored unless kept; the text can't be kept, ``output``
+has it. Within a block, parts keep the white space between their words; a line end
+stands between parts of two documents.
 
-Scale: one pass over the texts for their sizes; all else is on (doc_id, source,
-size). Running word offsets come from sorted ranges: sums within a range, and the
+Scale: one pass over the texts for their sizes, which also packs them; they meet their
+offsets by row and are shuffled once more, zipped, in groups of ``GROUP_BLOCKS`` blocks,
+so a source that holds most words is dealt out by its blocks. Offsets are on (doc_id, source, size). Running word offsets come from sorted ranges: sums within a range, and the
 list of ranges (one row per task and source), so a source that holds most rows is
 split like any other. The driver holds one number per source and shard: the mix's
 own configuration."""
@@ -33,29 +38,39 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, schema_of
 from .words import slices, text_bytes, word_bounds
+from .zipped import unzipped
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
 SHARDS = 64
 MAX_REPEATS = 3
 SLOTS_PER_TASK = 1 << 20
+GROUP_BLOCKS, GROUPS_AT_ONCE = 64, 64
 ROUNDS = 4  # of the permutation's mixing network
 
 
-def word_counts(docs: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
-    """All columns but the text, its number of words and its hash."""
+def word_counts(docs: DataFrame, text: str = "text", name: str = "size", packed: bool = False
+                ) -> DataFrame:
+    """All columns but the text, its number of words and its hash; ``packed``: also the
+    text as ``__zip``."""
     keep = [c for c in docs.columns if c not in (text, name, "text_hash")]  # replaced
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"),
                       F.xxhash64(text).alias("text_hash"))
-    schema = schema_of(src.drop("__text"), f"{name} long")
+    plain = src.drop("__text").columns
+    schema = schema_of(src.drop("__text"), f"{name} long" + ", __zip binary" * packed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        zipper = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for b in slices(whole, "__text"):
                 first = word_bounds(*text_bytes(b.column("__text")))[2]
-                cols = [b.column(c) for c in schema.names[:-1]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(first), pa.int64())],
-                                                 names=schema.names)
+                cols = [*[b.column(c) for c in plain], pa.array(np.diff(first), pa.int64())]
+                if packed:
+                    cols.append(pa.array([zipper.compress(t.encode()) for t in
+                                          b.column("__text").to_pylist()], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return src.mapInArrow(count, schema)
 
@@ -183,20 +198,111 @@ def plan_slots(spark, info: list[dict], counts: np.ndarray, seed: int) -> DataFr
     return spans.mapInArrow(expand, schema)
 
 
+def chunks(rows: DataFrame, words: int) -> DataFrame:
+    """The texts of ``rows`` (source_id, doc_id, begun, __zip) cut where groups of ``words``
+    words end: source_id, doc_id, group, at (place in the source), from (word of the
+    document), begun, __zip."""
+    schema = schema_of(rows.select("source_id", "doc_id", "begun"),
+                       "group long, at long, from long, __zip binary")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        zipper = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for b in slices(unzipped(whole), "__text"):
+                data, at = text_bytes(b.column("__text"))
+                starts, ends, first = word_bounds(data, at)
+                if not len(starts):
+                    continue
+                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                nth = np.arange(len(starts)) - first[row]
+                place = b.column("begun").to_numpy()[row] + nth
+                begin = np.flatnonzero((nth == 0) | (place % words == 0))
+                last = np.r_[begin[1:], len(starts)] - 1
+                raw = data.tobytes()
+                packed = [zipper.compress(raw[s:e]) for s, e in zip(starts[begin], ends[last])]
+                own = pa.array(row[begin])
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c).take(own) for c in schema.names[:3]],
+                     pa.array(place[begin] // words), pa.array(place[begin]),
+                     pa.array(nth[begin]), pa.array(packed, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(cut, schema)
+
+
+def fill_slots(groups: DataFrame, block_words: int, doc_id: str) -> DataFrame:
+    """One row per slot of ``groups`` (source_id; chunks, ordered by place; slots), with its
+    block's text and parts."""
+    schema = schema_of(groups.select("source_id"), "shard int, slot long, block long, text string, "
+                       f"parts array<struct<doc_id:{doc_id},begun:long,from:long,words:long>>")
+
+    def flat(column):
+        fields = column.flatten()
+        owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+        return owner, {f.name: fields.field(k) for k, f in enumerate(fields.type)}
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for k in range(0, whole.num_rows, GROUPS_AT_ONCE):
+                b = whole.slice(k, GROUPS_AT_ONCE)
+                owner, c = flat(b.column("chunks"))
+                raws = [unzip.decompress(z) for z in c["__zip"].to_pylist()]
+                raw = b"".join(raws)
+                at = np.r_[0, np.cumsum([len(x) for x in raws])].astype(np.int64)
+                starts, ends, first = word_bounds(np.frombuffer(raw, np.uint8), at)
+                row = np.repeat(np.arange(len(raws)), np.diff(first))
+                nth = np.arange(len(starts)) - first[row]
+                block = (c["at"].to_numpy()[row] + nth) // block_words
+                begin = np.flatnonzero((nth == 0) | np.r_[True, block[1:] != block[:-1]])
+                end = np.r_[begin[1:], len(starts)]
+                texts = [raw[s:e] for s, e in zip(starts[begin], ends[end - 1])]
+                own = row[begin]
+                # Parts of one block stand beside each other: groups end where blocks do.
+                new = np.r_[True, (block[begin][1:] != block[begin][:-1])
+                            | (owner[own][1:] != owner[own][:-1])]
+                head = np.r_[np.flatnonzero(new), len(begin)]
+                text = pa.array([b"\n".join(texts[s:e]) for s, e in zip(head[:-1], head[1:])],
+                                pa.binary()).cast(pa.string())
+                parts = pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.StructArray.from_arrays(
+                    [c["doc_id"].take(pa.array(own)), c["begun"].take(pa.array(own)),
+                     pa.array(c["from"].to_numpy()[own] + nth[begin]), pa.array(end - begin)],
+                    names=["doc_id", "begun", "from", "words"]))
+                group, s = flat(b.column("slots"))
+                # Blocks are in order within a group, so the n-th of a group is found by number.
+                of = owner[own][head[:-1]]
+                lowest = np.searchsorted(of, np.arange(b.num_rows))
+                want = s["block"].to_numpy()
+                spot = pa.array(lowest[group] + want - block[begin][head[:-1]][lowest[group]])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("source_id").take(pa.array(group)), s["shard"], s["slot"],
+                     s["block"], text.take(spot), parts.take(spot)], names=schema.names)
+
+    return groups.mapInArrow(fill, schema)
+
+
 class Mix:
-    """A planned mix. ``slots``: shard, slot, source_id, block; ``blocks``: the parts
-    of documents (first word, words) that a block holds; ``documents``: each row with
-    size, source_size, target and taken."""
+    """A mix. ``output``: shard, slot, source_id, block, source, the block's text and its
+    parts of documents (begun, doc_id, from, words); ``slots``: shard, slot, source_id,
+    block; ``blocks``: the parts of documents (first word, words) that a block holds;
+    ``documents``: each row with size, source_size, target and taken."""
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS,
                  block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 17,
                  max_repeats: int = MAX_REPEATS, keep: tuple[str, ...] = ()):
         spark = docs.sparkSession
-        own = {"doc_id", "source", "text", "size", "text_hash", "source_size", "target", "taken"}
+        if "text" in keep:
+            raise ValueError("the mix's words are in output, not in documents")
+        own = {"doc_id", "source", "size", "text_hash", "source_size", "target", "taken"}
         keep = tuple(c for c in keep if c not in own)
         scratch = Scratch(spark, "mix")
-        counted = scratch.write(word_counts(docs.select("doc_id", "source", "text", *keep)),
-                                "sizes")
+        rows = docs.select("doc_id", "source", "text", *keep,
+                           F.monotonically_increasing_id().alias("__row"))
+        texts = scratch.write(word_counts(rows, packed=True), "texts")
+        counted = texts.drop("__zip")
         per_source = counted.groupBy("source").agg(F.sum("size").alias("words"))
         sizes = {r["source"]: r["words"] for r in per_source.collect()}
         share = cycled_weights(list(sizes), weights)
@@ -223,12 +329,28 @@ class Mix:
                        .withColumn("words", F.least((F.col("block") + 1) * block_words
                                                     - F.col("begun"), F.col("size"))
                                    - F.col("from")))
-        drawn = self.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
+        # Texts travel zipped, many blocks at once, and are cut into blocks where slots are.
+        group_words = GROUP_BLOCKS * block_words
+        pieces = chunks(full.select("__row", "source_id", "doc_id", "begun")
+                        .join(texts.select("__row", "__zip").hint("merge"), "__row")
+                        .select("source_id", "doc_id", "begun", "__zip"), group_words)
+        packed = pieces.groupBy("source_id", "group").agg(F.array_sort(F.collect_list(
+            F.struct("at", "begun", "doc_id", "from", "__zip"))).alias("chunks"))
+        wanted_slots = (self.slots.withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS))
+                        .groupBy("source_id", "group")
+                        .agg(F.array_sort(F.collect_list(F.struct("block", "shard", "slot")))
+                             .alias("slots")))
         # Slots come from a short list by a Python function, so Spark's estimate of their
         # size is far too low: without the hint it would broadcast them.
-        taken = (self.blocks.join(drawn.hint("merge"), ["source_id", "block"])
-                 .groupBy("source_id", "begun")
-                 .agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
+        groups = packed.join(wanted_slots.hint("merge"), ["source_id", "group"])
+        filled = fill_slots(groups.select("source_id", "chunks", "slots"), block_words,
+                            docs.schema["doc_id"].dataType.simpleString())
+        self.output = scratch.write(
+            filled.join(F.broadcast(table.select("source_id", "source")), "source_id"),
+            "output", compression="zstd")
+        scratch.drop("texts")
+        taken = (self.output.select("source_id", F.explode("parts").alias("p"))
+                 .groupBy("source_id", "p.begun").agg(F.sum("p.words").alias("taken")))
         # Words stand at one place of one source, so a row with words is known by it.
         self.documents = (placed.withColumn("at", F.when(F.col("size") > 0, F.col("begun")))
                           .join(taken.withColumnRenamed("begun", "at").hint("merge"),
