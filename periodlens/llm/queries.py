@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontamination, language_id, minhash_join, mixing, perplexity, rule_ensemble,
-               substring_dedup, text_stats, token_counts, url_filter)
+from . import (chat_format, decontamination, fill_in_middle, language_id, minhash_join, mixing,
+               perplexity, rule_ensemble, substring_dedup, text_stats, token_counts, url_filter)
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'{CONTROL_TEXT}' AS text")
     log = chat_format.rows_as_events(rows.unionByName(planted))
     return chat_format.digest(chat_format.render(chat_format.fold_events(log)))
+
+
+@_query("op11_fill_in_middle", r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+hs AS (
+  SELECT doc_id, t, n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+    CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM drawn),
+cuts AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a,
+    greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+           OR h3 % 100 >= 90 THEN 'plain'
+         WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM hs)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1, n - b)
+                    || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1, n - b) || '<P>' || substring(t, 1, a)
+                    || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cuts""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return fill_in_middle.restored(filled, text=False)
