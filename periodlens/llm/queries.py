@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontamination, fill_in_middle, language_id, minhash_join, mixing,
-               perplexity, rule_ensemble, substring_dedup, text_stats, token_counts, url_filter)
+from . import (chat_format, collocations, decontamination, fill_in_middle, language_id,
+               minhash_join, mixing, perplexity, rule_ensemble, substring_dedup, text_stats, token_counts, url_filter)
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,39 @@ FROM cuts""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     return fill_in_middle.restored(filled, text=False)
+
+
+@_query("op12_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+           FROM words, range(1, 6) AS s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM places GROUP BY ALL HAVING count(*) >= 100),
+split AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS c FROM split),
+scored AS (
+  SELECT x.lang, x.phrase, x.a, x.c, l.a AS l, r.a AS r, n,
+    CAST((1000::HUGEINT * x.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cuts x JOIN total USING (lang)
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:c], ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[c + 1:x.k], ' ')),
+best AS (SELECT * FROM scored
+         QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS i
+        FROM (SELECT lang, a, w, k, unnest(range(2, k)) AS size FROM split WHERE k > 2))
+  GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC,
+         encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inside USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(_table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
