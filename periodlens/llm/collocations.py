@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
 from .substring_dedup import pack_small, unpack_small
-from .words import mix, range_hashes, slices, text_bytes, window_hashes, word_bounds
+from .words import lean, mix, range_hashes, slices, text_bytes, window_hashes, word_bounds
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 SLICE = 4 << 20
@@ -109,8 +109,9 @@ def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # --- slices ------------------------------------------------------------------------
 
-def pieces_of(column) -> tuple[pa.Array, np.ndarray]:
-    """(words as binaries, whether each one starts a piece) of a text column."""
+def pieces_of(column, rows: bool = False) -> tuple:
+    """(words as binaries, whether each one starts a piece) of a text column; with
+    ``rows`` also the number of words of each row."""
     data, at = text_bytes(column)
     data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
     ends_piece = np.isin(np.arange(256), list(BREAKS))[data]
@@ -128,7 +129,7 @@ def pieces_of(column) -> tuple[pa.Array, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(size)])
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
         None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept)])
-    return words, new
+    return (words, new, np.diff(first)) if rows else (words, new)
 
 
 class Slice:
@@ -170,12 +171,18 @@ class Slice:
         piece = np.cumsum(self.new)
         return np.flatnonzero(piece[:n] == piece[width - 1:])
 
-    def hashes(self) -> np.ndarray:
-        """A hash of each word, by language."""
+    def word_hashes(self) -> np.ndarray:
+        """A hash of each word of the dictionary, by language."""
         joined = np.frombuffer(b"".join(self.dictionary), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(w) for w in self.dictionary])]).astype(np.int64)
-        seed = int.from_bytes(hashlib.blake2b(self.lang.encode(), digest_size=8).digest(), "big")
-        return mix(range_hashes(joined, at[:-1], at[1:]) ^ np.uint64(seed))[self.ids]
+        return mix(range_hashes(joined, at[:-1], at[1:]) ^ np.uint64(language_seed(self.lang)))
+
+    def hashes(self) -> np.ndarray:
+        return self.word_hashes()[self.ids]
+
+
+def language_seed(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big")
 
 
 def write_slices(docs: DataFrame, scratch: Scratch, longest: int, lang: str, text: str
@@ -252,6 +259,7 @@ def surviving(slices_: DataFrame, bits: int, parts: int, min_count: int, longest
     width = (1 << bits) // parts + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         mass = np.zeros(parts, np.int64)
         edges = np.arange(1, parts, dtype=np.uint64) * np.uint64(width)
         for b in batches:
@@ -280,6 +288,7 @@ def surviving(slices_: DataFrame, bits: int, parts: int, min_count: int, longest
              pa.array(mass[some])], names=["part", "slice", "keys", "counts", "mass"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         part, mass, held, summary = None, 0, [], None
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -354,6 +363,7 @@ def exact_counts(slices_: DataFrame, found: DataFrame, bits: int, parts: int, lo
             .repartition(parts, "slice").sortWithinPartitions("slice", F.col("words").isNotNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         number, held = None, []
         for b in batches:  # a slice's hashes come before its words
             for n, lang, words, keys in zip(*(b.column(c).to_pylist()

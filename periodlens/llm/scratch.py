@@ -31,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.root = scratch_path(spark, f"{operator}-{uuid.uuid4().hex}")
         self.names: set[str] = set()
+        self.tables: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,8 +41,22 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def write_at_home(self, df: DataFrame, name: str, tasks: int, home: str = "home"
+                      ) -> DataFrame:
+        """Writes a table bucketed by ``home``, the number of the task that makes a row: a
+        task's rows fall into one bucket, hence one file, and a later grouping by ``home``
+        reads them where they are, without a shuffle."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        (df.write.bucketBy(2 * tasks, home).option("path", self.path(name)).format("parquet")
+         .saveAsTable(table))
+        self.names.add(name)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             drop_path(self.spark, self.path(name))
             self.names.discard(name)
 

@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import schema_of, send
-from .words import mix, range_hashes, slices, text_bytes, window_hashes, window_starts, word_bounds
+from .words import (lean, mix, range_hashes, slices, text_bytes, window_hashes, window_starts,
+                    word_bounds)
 from .zipped import zipped
 
 WIDTH = 20
@@ -318,6 +319,7 @@ def repeats(docs: DataFrame, tree: PrefixTree, groups: int, targets: int, width:
                 yield from pack_slice(b, known, groups, targets, width)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: list[dict] = []
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -376,9 +378,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFF
     targets = groups
     found = repeats(docs, tree, groups, targets, width)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    small = zipped(docs.select(*columns))
-    small = small.mapInArrow(lambda batches: (_with_target(b, targets) for b in batches),
-                             schema_of(small, "__target int"))
+    small = zipped(docs.select(*columns), more="__target int", also=lambda b: [pa.array(
+        target_of(b.column("doc_id").fill_null(LAST_ID).to_numpy(zero_copy_only=False), targets))])
     # A target's repeats come before its texts.
     both = (found.withColumn("__text", F.lit(False))
             .unionByName(small.withColumn("__text", F.lit(True)), allowMissingColumns=True)
@@ -388,6 +389,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFF
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        lean()
         unzip, known = zstandard.ZstdDecompressor(), KnownRepeats()
         for b in batches:
             rows = b.filter(b.column("__text"))
@@ -412,12 +414,6 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFF
     return both.mapInArrow(remove, schema)
 
 
-def _with_target(batch: pa.RecordBatch, targets: int) -> pa.RecordBatch:
-    doc = batch.column("doc_id").fill_null(LAST_ID).to_numpy(zero_copy_only=False)
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(target_of(doc, targets))],
-                                      names=[*batch.schema.names, "__target"])
-
-
 def without_repeats(raw: bytes | None, at: np.ndarray, want: np.ndarray, width: int
                     ) -> tuple[bytes | None, int, int]:
     """(text, words, removed words): a place counts where the path there agrees."""

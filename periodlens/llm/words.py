@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _M64 = (1 << 64) - 1
 # An odd multiplier and its inverse modulo 2**64 turn prefix sums into substring hashes.
 _R = 0x9E3779B97F4A7C15
@@ -45,9 +45,21 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
 
 
+def lean() -> None:
+    """Freed arrays go back to the system at once. Spark keeps Python workers for later
+    tasks, and several share an executor's memory: what one has freed must not stay its own."""
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option is not None:  # glibc: arrays from 256 KB on are mapped, now and later
+        set_option(-3, 1 << 18)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES
            ) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of at most ``limit`` bytes of text, or one row."""
+    lean()
     _, at = text_bytes(batch.column(text))
     first = 0
     while first < batch.num_rows:

@@ -31,7 +31,7 @@ def union_find(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Smallest doc_id reachable; all rows of a doc_id are one document."""
     sets = {}
     for d, t in rows:
@@ -39,7 +39,7 @@ def brute(rows):
             sets.setdefault(d, []).append(shingles(t))
     ids = sorted(sets)
     edges = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
-             if any(x and y and 100 * len(x & y) >= 85 * len(x | y)
+             if any(x and y and 100 * len(x & y) >= percent * len(x | y)
                     for x in sets[a] for y in sets[b])]
     return union_find(ids, edges)
 

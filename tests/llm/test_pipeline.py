@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark):
     start = rows_of(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
     first = rows_of(at["language_id"])
     assert {k for k, r in start.items() if any(c.isalpha() for c in r["text"])} == set(first)
-    root = near_brute([(k, r["text"]) for k, r in first.items()])
+    root = near_brute([(k, r["text"]) for k, r in first.items()], C.NEAR_PERCENT)
     second = rows_of(at["near_dedup"])
     assert set(second) == set(root.values())
     assert all(second[k] == first[k] for k in second)
