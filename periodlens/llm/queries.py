@@ -245,3 +245,33 @@ QUALIFY rank <= 2000""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.collocations(_table(spark, sf_dir, "documents"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@_query("op13_suffix_arrays", r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i
+           FROM docs WHERE length(x) >= 800),
+paths AS (SELECT r, i, md5(substring(x, 2 * i + 1, 800)) AS path FROM places),
+again AS (SELECT r, i FROM paths QUALIFY count(*) OVER (PARTITION BY path) > 1),
+marked AS (SELECT r, i, i > 400 + lag(i, 1, -401) OVER (PARTITION BY r ORDER BY i) AS new
+           FROM again),
+numbered AS (SELECT r, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS k
+             FROM marked),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY r, k),
+kept AS (
+  SELECT r, substring(x, 2 * before + 1, 2 * (a - before)) AS part, a - before AS size, a
+  FROM (SELECT r, a, b, x, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before
+        FROM (SELECT r, a, b FROM spans UNION ALL
+              SELECT r, length(x) // 2, length(x) // 2 FROM docs) JOIN docs USING (r)))
+SELECT doc_id, length(x) // 2 AS n_bytes, length(x) // 2 - left_over AS n_removed,
+  coalesce(n, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM docs
+JOIN (SELECT r, string_agg(part, '' ORDER BY a, size DESC) AS rest,
+        CAST(sum(size) AS BIGINT) AS left_over FROM kept GROUP BY r) USING (r)
+LEFT JOIN (SELECT r, count(*) AS n FROM spans GROUP BY r) USING (r)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array_dedup.suffix_array_dedup(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                        F.sha2("kept", 256).alias("kept_sha256"))

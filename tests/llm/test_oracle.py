@@ -31,4 +31,4 @@ def test_equal(spark, con, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES)
-    assert numbers == list(range(1, 13))
+    assert numbers == list(range(1, 14))
