@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, collocations, decontamination, fill_in_middle, language_id,
-               minhash_join, mixing, perplexity, rule_ensemble, substring_dedup, text_stats, token_counts, url_filter)
+               minhash_join, mixing, perplexity, rule_ensemble, substring_dedup,
+               suffix_array_dedup, text_stats, token_counts, url_filter)
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
