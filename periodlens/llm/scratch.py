@@ -47,7 +47,8 @@ class Scratch:
         task's rows fall into one bucket, hence one file, and a later grouping by ``home``
         reads them where they are, without a shuffle."""
         table = f"{name}_{uuid.uuid4().hex}"
-        (df.write.bucketBy(2 * tasks, home).option("path", self.path(name)).format("parquet")
+        buckets = min(max(2 * tasks, 1), 100_000)  # Spark's limit
+        (df.write.bucketBy(buckets, home).option("path", self.path(name)).format("parquet")
          .saveAsTable(table))
         self.names.add(name)
         self.tables[name] = table

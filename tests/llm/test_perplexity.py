@@ -1,68 +1,145 @@
+"""Word n-gram perplexity: dictionaries over the other texts, bands, scripts, odd rows."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from periodlens.llm import perplexity as P
-from periodlens.llm.words import text_bytes
 
 from .conftest import hostile_rows
 
-
-def codes_of(text):
-    return P.ngram_codes(*text_bytes(pa.array([text])))
-
-
-def test_codes_start_in_spaces_and_stay_in_their_row():
-    data, at = text_bytes(pa.array(["ab", "", "c", "Abcd e"]))
-    codes = P.ngram_codes(data, at)
-    alone = np.concatenate([codes_of(t) for t in ("ab", "c", "abcd e")])
-    assert codes.tolist() == alone.tolist()
-    s = P.SPACE
-    assert codes[0] == (((s << 5 | s) << 5 | s) << 5) | 0
-    assert codes[1] == (((s << 5 | s) << 5 | 0) << 5) | 1
-
-
-def test_kneser_ney_sums_to_one_and_prefers_what_it_saw():
-    text = "the cat sat on the mat. the dog sat on the log, the cat ran to the dog. " * 3
-    codes, n = np.unique(codes_of(text), return_counts=True)
-    model = P.kneser_ney(codes.astype(np.int64), n)
-    rng = np.random.default_rng(1)
-    for context in [*(codes[:20] >> 5), *rng.integers(0, 32**3, 20)]:
-        p = np.exp(P.log_probability(model, (int(context) << 5) + np.arange(32)))
-        assert p.sum() == pytest.approx(1, abs=1e-5) and (p > 0).all()
-    seen = -P.log_probability(model, codes_of("the cat sat")).mean()
-    assert seen < -P.log_probability(model, codes_of("xq zzv kjw")).mean()
-
-
-def brute(codes, n, code):
-    """Interpolated modified Kneser-Ney by dictionaries, one order after another."""
-    grams = {P.ORDER: dict(zip(codes.tolist(), n.tolist()))}
-    for k in range(P.ORDER - 1, 0, -1):
-        grams[k] = {}
-        for g in grams[k + 1]:
-            s = g & ((1 << 5 * k) - 1)
-            grams[k][s] = grams[k].get(s, 0) + 1
-    p = 1 / 32
-    for k in range(1, P.ORDER + 1):
-        d1, d2, d3 = P._discounts(np.array(list(grams[k].values())))
-        less = lambda c: d1 if c == 1 else d2 if c == 2 else d3
-        own = code & ((1 << 5 * k) - 1)
-        same = {g: c for g, c in grams[k].items() if g >> 5 == own >> 5}
-        if same:
-            total = sum(same.values())
-            c = same.get(own, 0)
-            p = (max(c - less(c), 0) if c else 0) / total \
-                + sum(less(c) for c in same.values()) / total * p
-    return np.log(p)
-
-
-def test_against_dictionaries():
-    text = "a rose is a rose is a rose, and roses are red or rosy. one two three. "
-    codes, n = np.unique(codes_of(text * 2), return_counts=True)
-    model = P.kneser_ney(codes.astype(np.int64), n)
-    want = [*codes_of("a rose is an odd rosebud")]
-    got = P.log_probability(model, np.array(want))
-    assert got == pytest.approx([brute(codes, n, int(c)) for c in want], abs=1e-5)
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def pieces_of(text):
+    found = (tuple(re.findall(r"[^\x20\x09]+", piece)) for piece in
+             re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)))
+    return [p for p in found if p]
+
+
+def odd(word):
+    return any(c in word for c in P.SYMBOLS.decode())
+
+
+def pairs_of(pieces):
+    return Counter((None if v is None or odd(v) else v, w) for p in pieces
+                   for v, w in zip([None, *p], p) if not odd(w))
+
+
+def by_dictionaries(texts):
+    """Mean negative log probability of each text of one language, by pieces it has not."""
+    each = [pieces_of(t) for t in texts]
+    count = pairs_of({p for pieces in each for p in pieces})
+    ends, times = Counter(w for _, w in count), lambda c, n: sum(x == n for x in c.values())
+    d = P.discounts(*(times(count, n) for n in (1, 2, 3, 4)))
+    e = P.discounts(*(times(ends, n) for n in (1, 2, 3, 4)))
+    less = lambda n, d: max(n - d[min(n, 3) - 1], 0) if n else 0
+    left = sum(e[min(n, 3) - 1] for n in ends.values()) / max(len(count), 1)
+    after, begun = defaultdict(list), Counter()
+    for (v, _), n in count.items():
+        after[v].append(n)
+        begun[v] += n
+    out = []
+    for pieces in each:
+        own, started = pairs_of(set(pieces)), Counter()
+        for (v, _), n in own.items():
+            started[v] += n
+        total = 0.0
+        for (v, w), n in pairs_of(pieces).items():
+            kinds = ends[w] - sum(count[u, x] == m for (u, x), m in own.items() if x == w)
+            p = less(kinds, e) / len(count) + left / len(ends)
+            rest = begun[v] - started[v]
+            if rest:
+                back = sum(d[min(k, 3) - 1] for k in after[v]) / rest
+                p = less(count[v, w] - own[v, w], d) / rest + min(back, 1) * p
+            total -= n * math.log(min(p, 1))
+        size = sum(map(len, pieces))
+        total -= sum(odd(w) for p in pieces for w in p) * math.log(left / max(len(ends), 1) or 1)
+        out.append(total / size if size else None)
+    return out
+
+
+def sentences(n, seed=5):
+    """Prose of 120 words whose first letters follow a few rules."""
+    pick, words = random.Random(seed), [f"w{k}" for k in range(60)]
+    out = []
+    for _ in range(n):
+        at, text = 0, []
+        for _ in range(pick.randint(1, 120)):
+            at = (at * 7 + pick.choice([1, 1, 1, 2, 5, 30])) % 60
+            text.append(words[at] + pick.choice(["", "", "", ",", ".", "\n"]))
+        out.append(" ".join(text))
+    return out
+
+
+def nlls(spark, docs, **more):
+    rows = P.with_nll(docs, ("doc_id", "lang", "n_chars"), "lang", "text", **more).collect()
+    return {(r.doc_id, r.lang): r.nll for r in rows}
+
+
+@pytest.mark.parametrize("part_mass, size", [(1 << 23, 1 << 22), (700, 3000)])
+def test_against_dictionaries(spark, documents, monkeypatch, part_mass, size):
+    monkeypatch.setattr(P, "SLICE", size)
+    texts = sentences(50)
+    texts += texts[:3] + [None, "", ".,", "alone", "WORD word Word",
+                         "w1 w2 | w3 w4$ w5 ** w6 w7", "| | |, w1 | w1"]
+    rows = [(k, t, lang) for lang in ("en", None) for k, t in
+            enumerate(texts if lang else texts[20:])]
+    got = nlls(spark, documents(rows).repartition(5), part_mass=part_mass)
+    for lang in ("en", None):
+        want = by_dictionaries(texts if lang else texts[20:])
+        for k, x in enumerate(want):
+            y = got.pop((k, lang))
+            assert (x is None) == (y is None) and (x is None or y == pytest.approx(x, abs=1e-9))
+    assert not got
+
+
+def test_what_the_sums_are_grows_with_the_texts(spark, documents, monkeypatch):
+    sizes = []
+    for n in (40, 400):
+        kept = []
+        docs = documents([(k, f"a{k} b{k} c{k}") for k in range(n)])
+        scratch_write = P.Scratch.write
+        monkeypatch.setattr(P.Scratch, "write", lambda self, df, name, *a: kept.append(
+            (name, scratch_write(self, df, name, *a))) or kept[-1][1])
+        monkeypatch.setattr(P.Scratch, "drop", lambda self, *names: None)
+        P.with_nll(docs, ("doc_id",), "lang", "text")
+        counts = dict(kept)["counts"].where("home is null")
+        sizes.append(counts.agg(F.sum(F.col("numbers")[4])).first()[0])
+        monkeypatch.undo()
+    assert sizes == [3 * 40, 3 * 400]
+
+
+def cyrillic(seed, n):
+    pick = random.Random(seed)
+    stems = ["сло", "мир", "дом", "вод", "лес", "гор", "нов", "ста", "бел", "мор", "зем", "тих"]
+    tails = ["о", "а", "ы", "ом", "ами", "ный", "ная", "ем", "ит"]
+    vocabulary = [a + b for a in stems for b in tails]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    return [" ".join(pick.choices(vocabulary, weights, k=90)) + "." for _ in range(n)]
+
+
+def gibberish(seed, n, letters):
+    pick = random.Random(seed)
+    return [" ".join("".join(pick.choices(letters, k=pick.randint(2, 9))) for _ in range(90))
+            for _ in range(n)]
+
+
+@pytest.mark.parametrize("prose, letters", [
+    (cyrillic, "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
+    (lambda seed, n: [t.translate(str.maketrans("слоамирдвегнтбыэьйзх",
+                                                "slwamirdvegntbyoujzh")) for t in
+                      cyrillic(seed, n)], "abcdefghijklmnopqrstuvwxyz")])
+def test_gibberish_fails_in_any_script(spark, documents, prose, letters):
+    good, bad = prose(1, 150), gibberish(2, 50, letters)
+    docs = documents([(k, t, "xx") for k, t in enumerate(good + bad)])
+    kept = {r.doc_id for r in P.judge_perplexity(docs).where("kept").collect()}
+    assert len(kept & set(range(150))) >= 148 and not kept & set(range(150, 200))
 
 
 def prose(k, words=120):
@@ -88,22 +165,43 @@ def test_bands_reject_odd_texts_and_keep_clean_ones(spark, documents):
     assert got[1000]["perplexity"] is None and got[1000]["n_words"] == 0
 
 
-def test_language_groups_do_not_change_results(spark, documents, monkeypatch):
-    docs = documents([(k, prose(k), f"l{k % 5}") for k in range(60)])
-    want = sorted(map(tuple, P.judge_perplexity(docs).collect()))
-    monkeypatch.setattr(P, "LANGUAGES_AT_ONCE", 2)
-    assert sorted(map(tuple, P.judge_perplexity(docs.repartition(3)).collect())) == want
-
-
-def test_language_groups_keep_their_bounds(monkeypatch):
-    monkeypatch.setattr(P, "NGRAMS_AT_ONCE", 100)
-    monkeypatch.setattr(P, "LANGUAGES_AT_ONCE", 3)
-    sizes = {"a": 60, "b": 50, "c": 50, "d": 0, "e": 0, "f": 0, None: 500}
-    assert P.language_groups(sizes) == [["a"], ["b", "c", "d"], ["e", "f"], [None]]
-    assert P.language_groups({}) == [[]]
-
-
-def test_hostile_and_empty(spark, documents):
+def test_base_columns_and_odd_rows(spark, documents):
     rows = hostile_rows()
-    assert P.judge_perplexity(documents(rows)).count() == len(rows)
-    assert P.judge_perplexity(documents(rows).limit(0)).count() == 0
+    out = P.judge_perplexity(documents(rows), ("doc_id", "source"))
+    assert out.columns == ["doc_id", "source", *P.BASE_COUNTS, "base_failed", "perplexity", "low",
+                           "high", "kept"]
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert r.base_failed == failed and not (r.kept and failed)
+        assert r.n_words or r.perplexity is None
+
+
+def test_empty_table(spark, documents):
+    assert P.judge_perplexity(documents([(1, "a")]).limit(0)).collect() == []
+    one = P.judge_perplexity(documents([(1, None), (2, "")])).collect()
+    assert [r.kept for r in one] == [False, False]
+
+
+def test_discounts_and_columns():
+    assert P.discounts(0, 0, 0, 0) == [0.5, 1.0, 1.5]
+    y = 10 / (10 + 2 * 5)
+    assert P.discounts(10, 5, 2, 1) == pytest.approx([1 - 2 * y * .5, 2 - 3 * y * .4, 3 - 4 * y * .5])
+    cols = [np.array([0, 5, 1 << 40]), np.array([], np.int64), np.array([7])]
+    assert [c.tolist() for c in P.unpack_columns(P.pack_columns(cols))] == [c.tolist() for c in cols]
+
+
+def test_texts_are_not_shuffled(spark, documents):
+    """Slices meet the answers where they were written: no exchange above their scan."""
+    scratch = P.Scratch(spark, "test")
+    docs = documents([(k, t) for k, t in enumerate(sentences(30))])
+    table = scratch.write_at_home(P.word_slices(docs, ("doc_id",), "lang", "text"), "slices", 4)
+    pieces = scratch.write(P.merged(P.piece_sums(table, 30, 2), 2, P.PIECES, P.pair_numbers),
+                           "pieces")
+    plan = P.gram_sums(table, pieces.where("home is not null"), 30, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+    name = scratch.tables["slices"]
+    assert spark.catalog.tableExists(name)
+    scratch.drop("slices")
+    assert not spark.catalog.tableExists(name)
