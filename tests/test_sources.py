@@ -1,13 +1,16 @@
 """Loading: per-period files, load check, partitioned layout, reuse cache."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from periodlens import Periods
 from periodlens.schema import FactSchemaError
 from periodlens.sources import (FactCache, FactLoadError, fixture_fact, load_periods,
-                                period_counts, read_period_files, register, replace_period,
-                                write_periods)
+                                period_counts, read_period_files, recover_periods, register,
+                                replace_period, write_periods)
+from periodlens.sources import periods
 
 from .conftest import SF_SMALL
 
@@ -156,3 +159,126 @@ def test_restated_period_replaces_its_rows(spark, fact, tmp_path):
     with pytest.raises(FactLoadError):
         replace_period(fact, p, 2000)
     assert load_periods(spark, p).count() == fact.where("yil = 1999").count()
+
+
+@pytest.fixture
+def folder(spark, fact, tmp_path):
+    p = str(tmp_path / "fact")
+    write_periods(fact, p)
+    return p
+
+
+def rows_by_period(spark, p):
+    return {r.yil: (r.n, r.adet) for r in load_periods(spark, p).groupBy("yil").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("adet").alias("adet")).collect()}
+
+
+def hidden(p):
+    return sorted(n for n in os.listdir(p) if n.startswith("_") and n != "_SUCCESS")
+
+
+def plus_one(spark, p, yil):
+    one = load_periods(spark, p).where(F.col("yil") == yil)
+    return one.withColumn("adet", (F.col("adet") + 1).cast(one.schema["adet"].dataType))
+
+
+def test_a_period_is_corrected_from_its_own_rows(spark, folder):
+    before = rows_by_period(spark, folder)
+    for _ in range(2):
+        replace_period(plus_one(spark, folder, 2000), folder, 2000)
+    n, adet = before[2000]
+    assert rows_by_period(spark, folder) == {1999: before[1999], 2000: (n, adet + 2 * n)}
+    assert hidden(folder) == []
+
+
+def test_a_new_period_joins_the_folder(spark, fact, folder):
+    before = rows_by_period(spark, folder)
+    replace_period(fact.where("yil = 2000").drop("yil"), folder, 2001)
+    assert rows_by_period(spark, folder) == before | {2001: before[2000]}
+
+
+class Stop(Exception):
+    pass
+
+
+def stop(*_):
+    raise Stop
+
+
+def test_failure_before_the_swap_changes_nothing(spark, folder, monkeypatch):
+    before = rows_by_period(spark, folder)
+    monkeypatch.setattr(periods, "_check_written", stop)  # after the write
+    with pytest.raises(Stop):
+        replace_period(plus_one(spark, folder, 2000), folder, 2000)
+    assert rows_by_period(spark, folder) == before and hidden(folder) == []
+
+
+def test_rows_missing_after_the_write_are_refused(spark, fact, folder, monkeypatch):
+    before, read = rows_by_period(spark, folder), periods._read
+    monkeypatch.setattr(periods, "_read", lambda s, p: (
+        read(s, p).limit(5) if periods._NEW in p else read(s, p)))
+    with pytest.raises(FactLoadError):
+        replace_period(plus_one(spark, folder, 1999), folder, 1999)
+    assert rows_by_period(spark, folder) == before and hidden(folder) == []
+
+
+def test_failure_of_the_write_changes_nothing(spark, folder):
+    before = rows_by_period(spark, folder)
+    bad = plus_one(spark, folder, 2000).withColumn(
+        "adet", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception):
+        replace_period(bad, folder, 2000)
+    assert rows_by_period(spark, folder) == before and hidden(folder) == []
+
+
+@pytest.mark.parametrize("after", [1, 2])
+def test_failure_between_the_renames_puts_the_period_back(spark, folder, monkeypatch, after):
+    before, rename, calls = rows_by_period(spark, folder), periods._rename, []
+
+    def failing(fs, source, target):
+        calls.append(1)
+        if len(calls) == after:
+            raise Stop
+        rename(fs, source, target)
+    monkeypatch.setattr(periods, "_rename", failing)
+    with pytest.raises(Stop):
+        replace_period(plus_one(spark, folder, 2000), folder, 2000)
+    assert rows_by_period(spark, folder) == before and hidden(folder) == []
+
+
+def test_process_that_ends_between_the_renames(spark, folder):
+    """Both other periods and the one set aside can be read, and it can be put back."""
+    before = rows_by_period(spark, folder)
+    os.rename(f"{folder}/yil=2000", f"{folder}/_old-2000-x")
+    assert rows_by_period(spark, folder) == before
+    assert kpis(load_periods(spark, folder, P))[0] is not None
+    assert recover_periods(spark, folder) == [2000] and recover_periods(spark, folder) == []
+    assert rows_by_period(spark, folder) == before and hidden(folder) == []
+    for y in (1999, 2000):
+        os.rename(f"{folder}/yil={y}", f"{folder}/_old-{y}-x")
+    assert rows_by_period(spark, folder) == before
+    replace_period(plus_one(spark, folder, 2000), folder, 2000)
+    n, adet = before[2000]
+    assert rows_by_period(spark, folder) == {1999: before[1999], 2000: (n, adet + n)}
+    assert hidden(folder) == ["_old-1999-x"] and recover_periods(spark, folder) == [1999]
+
+
+def test_readers_see_the_period_between_the_renames(spark, folder, monkeypatch):
+    before, rename, seen = rows_by_period(spark, folder), periods._rename, []
+
+    def watched(fs, source, target):
+        seen.append(rows_by_period(spark, folder))
+        rename(fs, source, target)
+        if len(seen) == 1:
+            assert not os.path.exists(f"{folder}/yil=2000")
+    monkeypatch.setattr(periods, "_rename", watched)
+    replace_period(plus_one(spark, folder, 2000), folder, 2000)
+    assert seen == [before, before]
+
+
+def test_leftovers_of_a_finished_swap_go(spark, folder):
+    before = rows_by_period(spark, folder)
+    os.makedirs(f"{folder}/_old-2000-x")
+    assert rows_by_period(spark, folder) == before and recover_periods(spark, folder) == []
+    replace_period(plus_one(spark, folder, 2000), folder, 2000)
+    assert hidden(folder) == []
