@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from periodlens.llm import decontamination as D
@@ -113,3 +114,84 @@ def test_hostile_and_empty(spark, documents, benchmark):
     assert got.count() == len(hostile_rows()) and got.where("size(leaks) > 0").count() == 0
     assert D.with_leaks(docs.limit(0), table).count() == 0
     assert D.with_leaks(docs, table.limit(0)).where("size(leaks) > 0").count() == 0
+
+
+def third_replaced(item, k):
+    return " ".join(f"other{k}x{n}" if n % 3 == 2 else w for n, w in enumerate(item.split()))
+
+
+def put_between(item, k):
+    return " ".join(f"{w} put{k}x{n}" for n, w in enumerate(item.split()))
+
+
+def third_left_out(item, _):
+    return " ".join(w for n, w in enumerate(item.split()) if n % 3 != 2)
+
+
+@pytest.mark.parametrize("change", [third_replaced, put_between, third_left_out])
+def test_copies_that_keep_no_ngram_are_found(spark, documents, benchmark, change):
+    items, table = benchmark
+    rng = random.Random(3)
+    rows = [(k, " ".join([*words(rng, 20, "t"), change(items[k % 18], k), *words(rng, 20, "t")]))
+            for k in range(54)]
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]}
+           for r in D.with_leaks(documents(rows), table).collect()}
+    assert all(k % 18 in got[k] for k in range(54))
+
+
+def text_words(text):
+    hashes, _ = D.bare_words(pa.array([text]))
+    return hashes
+
+
+def test_against_the_alignment_of_all_pairs(spark, documents, benchmark):
+    """Every text against every item, without seeds: recall and precision."""
+    items, table = benchmark
+    rng, rows = random.Random(12), []
+    pool = [w for t in items for w in t.split()]
+    for k in range(220):
+        body = words(rng, rng.randint(0, 60), "t") + rng.sample(pool, 5)
+        copy = edited(rng, rng.choice(items), rng.choice([0.3, 0.45, 0.6])).split()
+        rng.shuffle(body)
+        rows.append((k, " ".join(body + copy if k % 4 else body)))
+    got = {(r["doc_id"], x["item_id"]) for r in D.with_leaks(documents(rows), table).collect()
+           for x in r["leaks"] if x["item_id"] is not None and x["item_id"] < 18}
+    item_words = [text_words(t).tolist() for t in items]
+    want = {(k, n) for k, t in rows for n, w in enumerate(item_words)
+            if smith_waterman(w, text_words(t).tolist()) >= D.THRESHOLD * D.MATCH * len(w)}
+    assert got <= want and len(want) > 60
+    assert len(got) >= 0.97 * len(want)
+
+
+def test_short_items_and_scripts_without_spaces(spark, documents):
+    table = spark.createDataFrame([
+        (1, "Photosynthesis"), (2, "Paris, France"), (3, "\u5149\u5408\u4f5c\u7528\u662f\u690d\u7269\u7684\u8fc7\u7a0b"),
+        (4, "\u6c34"), (5, "\u0e01\u0e32\u0e23\u0e2a\u0e31\u0e07\u0e40\u0e04\u0e23\u0e32\u0e30\u0e2b\u0e4c"), (6, "")],
+        "item_id long, text string")
+    rows = [(10, "photosynthesis"), (11, "The answer: Photosynthesis.\nNext"),
+            (12, "about photosynthesis in plants"), (13, "Paris France"), (14, "in Paris, France, we"),
+            (15, "so paris france!"), (20, "x\u3002\u5149\u5408\u4f5c\u7528\u662f\u690d\u7269\u7684\u8fc7\u7a0b\u3002y"),
+            (21, "\u5149\u5408\u690d\u7269\u4f5c\u7528\u8fc7"), (22, "\u559d\uff0c\u6c34\uff01"), (23, "\u6c34\u679c"),
+            (24, "abc \u0e01\u0e32\u0e23\u0e2a\u0e31\u0e07\u0e40\u0e04\u0e23\u0e32\u0e30\u0e2b\u0e4c xyz"), (30, None)]
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]}
+           for r in D.with_leaks(documents(rows), table).collect()}
+    assert got == {10: {1}, 11: {1}, 12: set(), 13: {2}, 14: set(), 15: set(), 20: {3}, 21: set(),
+                   22: {4}, 23: set(), 24: {5}, 30: set()}
+
+
+def test_words_of_mixed_scripts():
+    column = pa.array(["Ab\u4e2d\u6587cd\u3001\U00020000e", None, "\u2014dash\u2014d\u00e9j\u00e0", "\u4e2d"])
+    hashes, first, new = D.bare_words(column, pieces=True)
+    alone = [text_words(t)[0] for t in ("ab", "\u4e2d", "\u6587", "cd", "\U00020000", "e", "dash",
+                                        "d\u00e9j\u00e0", "\u4e2d")]
+    assert hashes.tolist() == alone and first.tolist() == [0, 6, 6, 8, 9]
+    assert new.tolist() == [True, False, False, False, True, False, True, True, True]
+
+
+def test_rows_at_once_do_not_change_results(spark, documents, benchmark, monkeypatch):
+    items, table = benchmark
+    column = pa.array([f"{t} and {items[0]}" for t in items])
+    seeds = D.Seeds([text_words(t) for t in items])
+    want = D.slice_leaks(column, seeds, 0.45)
+    monkeypatch.setattr(D, "PLACES", 1)
+    assert D.slice_leaks(column, seeds, 0.45) == want and len(want) >= 35
