@@ -11,6 +11,7 @@ per language, overlaps included. Which phrases may be frequent is found first:
    are held, the (capacity + 1)-th largest is taken off all of them, so each unit taken
    off costs capacity + 1 units of mass. All that is taken off stays below ``min_count``,
    and every phrase that frequent keeps a counter.
+   Of those, hashes whose counter and all that was taken off reach ``min_count`` survive.
 3. The surviving hashes go back to the slices that hold them; there phrases with such a
    hash are counted exactly, by their words, and summed by phrase. Hash collisions can
    only let more phrases into this pass.
@@ -76,6 +77,11 @@ class MisraGries:
         self.off += other.off
         self.add(other.keys, other.counts)
 
+    def candidates(self, least: int) -> np.ndarray:
+        """Keys that may stand ``least`` times: no count is off by more than ``off``."""
+        self.settle()
+        return self.keys[self.counts + self.off >= least]
+
     def settle(self) -> None:
         parts = [(self.keys, self.counts), *self._waiting]
         self._waiting, self._n = [], 0
@@ -294,12 +300,12 @@ def surviving(slices_: DataFrame, bits: int, parts: int, min_count: int, longest
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            summary.settle()
+            known = summary.candidates(min_count)
             assert summary.off < min_count
             for number, blob in held:
                 keys = unpack_keys(blob)
-                at = np.minimum(np.searchsorted(summary.keys, keys), len(summary.keys) - 1)
-                keys = keys[summary.keys[at] == keys] if len(summary.keys) else keys[:0]
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                keys = keys[known[at] == keys] if len(known) else keys[:0]
                 if len(keys):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([number]), pa.array([pack_keys(keys)], pa.binary())],
