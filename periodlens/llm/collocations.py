@@ -52,6 +52,7 @@ HELD = 4 * SLICE  # of all languages of a task
 PART_MASS = 1 << 24
 HASH_ROOM = 8  # hashes per occurrence
 RANK_PARTS = 32
+SUM_AT = 1 << 20  # phrases that wait to be summed
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 
 
@@ -336,19 +337,21 @@ def surviving(slices_: DataFrame, bits: int, parts: int, min_count: int, longest
 # --- second pass: exact counts --------------------------------------------------------
 
 def slice_counts(s: Slice, known: np.ndarray, bits: int, longest: int
-                 ) -> tuple[pa.Array, np.ndarray]:
-    """Phrases of the slice with a hash in ``known``, told apart by their words."""
+                 ) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Phrases of the slice with a hash in ``known``, told apart by their words; their
+    counts and hashes."""
     table = np.zeros(1 << 22, bool)  # most hashes are ruled out by their low bits
     low = np.uint64(len(table) - 1)
     table[known & low] = True
     dictionary = pa.array(s.dictionary, pa.binary())
-    phrases, counts = [], []
+    phrases, counts, hashes = [], [], []
     for k, (begin, keys) in enumerate(slice_keys(s, bits, longest), 1):
         maybe = np.flatnonzero(table[keys & low])
         at = np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)
-        begin = begin[maybe[known[at] == keys[maybe]]]
-        if not len(begin):
+        maybe = maybe[known[at] == keys[maybe]]
+        if not len(maybe):
             continue
+        begin = begin[maybe]
         code = s.ids[begin]
         for j in range(1, k):
             code = np.unique(code * len(s.dictionary) + s.ids[begin + j], return_inverse=True)[1]
@@ -356,21 +359,30 @@ def slice_counts(s: Slice, known: np.ndarray, bits: int, longest: int
         words = [dictionary.take(pa.array(s.ids[begin[one] + j])) for j in range(k)]
         phrases.append(pc.binary_join_element_wise(*words, b" ") if k > 1 else words[0])
         counts.append(n)
+        hashes.append(keys[maybe[one]])
     if not phrases:
-        return pa.array([], pa.binary()), np.zeros(0, np.int64)
-    return pa.concat_arrays(phrases), np.concatenate(counts)
+        return pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return pa.concat_arrays(phrases), np.concatenate(counts), np.concatenate(hashes)
 
 
-def exact_counts(slices_: DataFrame, found: DataFrame, bits: int, parts: int, longest: int
-                 ) -> DataFrame:
-    """lang, phrase, f of all phrases whose hash survived."""
+COUNTED = "part int, lang string, phrases binary, counts binary"
+COUNTED_NAMES = [c.split()[0] for c in COUNTED.split(", ")]
+
+
+def exact_counts(slices_: DataFrame, found: DataFrame, bits: int, parts: int, min_count: int,
+                 longest: int) -> DataFrame:
+    """lang, phrase, f of all phrases that stand ``min_count`` times or more. A slice sends
+    its phrases packed by hash range, which sums them by their words."""
     both = (slices_.select("slice", "lang", "words")
             .unionByName(found, allowMissingColumns=True)
             .repartition(parts, "slice").sortWithinPartitions("slice", F.col("words").isNotNull()))
+    width = np.uint64((1 << bits) // parts + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        number, held = None, []
+        number, held, zipper = None, [], zstandard.ZstdCompressor(level=1)
         for b in batches:  # a slice's hashes come before its words
             for n, lang, words, keys in zip(*(b.column(c).to_pylist()
                                               for c in ("slice", "lang", "words", "keys"))):
@@ -382,16 +394,58 @@ def exact_counts(slices_: DataFrame, found: DataFrame, bits: int, parts: int, lo
                 if not held:
                     continue
                 s = Slice.unpacked(lang, words)
-                phrases, counts = slice_counts(s, np.sort(np.concatenate(held)), bits, longest)
-                for a in range(0, len(phrases), 50_000):
-                    some = phrases.slice(a, 50_000)
+                phrases, counts, hashes = slice_counts(s, np.sort(np.concatenate(held)), bits,
+                                                       longest)
+                part = (hashes // width).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part, counts, phrases = part[order], counts[order], phrases.take(pa.array(order))
+                cut = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+                rows = [(int(part[a]), lang,  # no word holds a line end
+                         zipper.compress(b"\n".join(phrases.slice(a, b - a).to_pylist())),
+                         zipper.compress(pack_small(counts[a:b]))) for a, b in zip(cut, cut[1:])
+                        if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, kind) for x, kind in zip(zip(*rows), (
+                        pa.int32(), pa.string(), pa.binary(), pa.binary()))],
+                    names=COUNTED_NAMES)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        lean()
+        of, held, waiting, unzip = None, [], 0, zstandard.ZstdDecompressor()
+
+        def summed() -> pa.Table:
+            table = pa.concat_tables(held).group_by("phrase").aggregate([("f", "sum")])
+            return table.rename_columns(["phrase", "f"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = summed()
+                table = table.filter(pc.greater_equal(table.column("f"), min_count))
+                for b in table.to_batches(50_000):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), some.cast(pa.string()),
-                         pa.array(counts[a:a + 50_000], pa.int64())],
+                        [pa.array([of[1]] * b.num_rows, pa.string()),
+                         b.column("phrase").cast(pa.string()), b.column("f")],
                         names=["lang", "phrase", "f"])
 
-    return (both.mapInArrow(run, "lang string, phrase string, f long")
-            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
+        for b in batches:
+            for part, lang, phrases, counts in zip(*(b.column(c).to_pylist()
+                                                     for c in COUNTED_NAMES)):
+                if (part, lang) != of:
+                    yield from done()
+                    of, held, waiting = (part, lang), [], 0
+                words = unzip.decompress(phrases).split(b"\n")
+                held.append(pa.table({"phrase": pa.array(words, pa.binary()),
+                                      "f": unpack_small(unzip.decompress(counts))}))
+                waiting += len(words)
+                if waiting > SUM_AT:
+                    held, waiting = [summed()], 0
+        yield from done()
+
+    return (both.mapInArrow(count, COUNTED).repartitionById(parts, F.col("part"))
+            .sortWithinPartitions("part", "lang")
+            .mapInArrow(total, "lang string, phrase string, f long"))
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT,
@@ -404,21 +458,22 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int = MIN_COU
     bits = min(60, max(16, math.ceil(math.log2(HASH_ROOM * mass + 1))))
     parts = max(1, -(-mass // part_mass))
     found = surviving(packed, bits, parts, min_count, longest)
-    counts = exact_counts(packed, found, bits, 2 * parts, longest)
+    counts = exact_counts(packed, found, bits, 2 * parts, min_count, longest)
     totals = scratch.write(packed.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
-    frequent = scratch.write(counts.where(F.col("f") >= min_count), "frequent")
+    frequent = scratch.write(counts, "frequent")
     scratch.drop("slices")
     return frequent, totals
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
                  top: int | None = TOP, cover_percent: int = 100, lang: str = "lang",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", part_mass: int = PART_MASS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, cut: each language's best ``top`` phrases
     (None: all), without those that a longer candidate covers: one that holds their words
     in a row and stands ``cover_percent`` % as often or more."""
     scratch = Scratch(docs.sparkSession, "collocations")
-    frequent, totals = frequent_phrases(docs, scratch, min_count, longest, lang, text)
+    frequent, totals = frequent_phrases(docs, scratch, min_count, longest, lang, text,
+                                        part_mass)
     words = F.split("phrase", " ")
     candidates = frequent.where(F.size(words) > 1).withColumnRenamed("f", "a")
     cuts = (candidates.withColumn("w", words)

@@ -59,31 +59,17 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("min_count, part_mass, cover", [(5, 1 << 24, 100), (20, 500, 100),
-                                                         (8, 3000, 60)])
+@pytest.mark.parametrize("min_count, part_mass, cover", [(5, 1 << 24, 100), (20, 4000, 60)])
 def test_against_brute_force(spark, documents, min_count, part_mass, cover, monkeypatch):
-    monkeypatch.setattr(X, "PART_MASS", part_mass)
     monkeypatch.setattr(X, "SLICE", 4000)
+    monkeypatch.setattr(X, "SUM_AT", 300)
     rows = made_texts(300) + hostile_rows()
     docs = documents(rows).repartition(5)
-    got = rows_of(X.collocations(docs, min_count=min_count, cover_percent=cover))
+    got = rows_of(X.collocations(docs, min_count=min_count, cover_percent=cover,
+                                part_mass=part_mass))
     assert got == brute(rows, min_count, cover=cover) and len(got) > 20
 
 
-def test_small_partitions_and_slices_agree(spark, documents, monkeypatch):
-    rows = made_texts(200, seed=2)
-    docs = documents(rows).repartition(4)
-    want = brute(rows, 10)
-    for held in (1 << 24, 1000):
-        monkeypatch.setattr(X, "SLICE", held)
-        monkeypatch.setattr(X, "HELD", held)
-        scratch = X.Scratch(spark, "test")
-        frequent, totals = X.frequent_phrases(docs, scratch, 10, part_mass=300)
-        f = {(r.lang, r.phrase): r.f for r in frequent.collect()}
-        assert all(f[lang, p] == a for lang, _, p, a, *_ in want)
-        assert min(f.values()) >= 10
-
-
 def test_top_is_the_first_of_all(spark, documents):
     docs = documents(made_texts(150, seed=3))
     every = rows_of(X.collocations(docs, 4, top=None))
