@@ -58,8 +58,53 @@ def test_expected_counts_are_posteriors():
 
 
 def test_words():
-    assert L.words_of("Ab1c_d É-x\n" + "y" * 70) == ["ab", "c", "d", "é", "x", "y" * 32,
-                                                    "y" * 32, "y" * 6]
+    assert L.words_of("Ab1c_d É-x\n" + "y" * 70) == ["ab", "c", "d", "é", "x", "y" * 70]
+
+
+def test_the_whole_vocabulary_of_letters():
+    pieces = L.load_pieces()
+    assert len(pieces) == 23_947 and max(map(len, pieces)) == 16
+    finder = L.Pieces(pieces)
+    for piece in [x for x in pieces if len(x) > 8][::97]:
+        word = piece.removeprefix(L.WORD)
+        (_, ids), = finder.lattice([word])
+        at = ids[len(piece) - 1, 0, len(word)]
+        assert (pieces[at] if at >= 0 else None) == (
+            L.WORD + word if L.WORD + word in pieces else None) or not piece.startswith(L.WORD)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5, 4096])
+def test_state_is_carried_over_the_cuts_of_a_long_word(chunk, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    p = rng.random((len(PIECES) + 1, 2)) * 0.3
+    index = {x: k for k, x in enumerate(PIECES)} | {"?": len(PIECES)}
+    finder = L.Pieces(PIECES)
+    for word in ("abbabbaxab", "b", "bbbbbbbbb", "abaabbabbab"):
+        want, posterior = 0, np.zeros(len(p))
+        for s in segmentations(L.WORD + word):
+            share = np.prod([p[index[x]] for x in s], axis=0)
+            want = want + share
+            for x in s:
+                posterior[index[x]] += share[1]
+        assert L.long_word(finder, word, p) == pytest.approx(np.log(want))
+        got = np.zeros(len(p))
+        L.expected_in_long(finder, word, p[:, 1], 2.0, got)
+        assert got == pytest.approx(2 * posterior / want[1])
+
+
+def test_long_words_count_by_their_letters(spark, documents, monkeypatch):
+    """Neither fitting nor scoring depends on which words go alone."""
+    docs = train(documents)
+    want = sorted(map(tuple, L.identify(docs, docs.lang.isNotNull()).collect()))
+    monkeypatch.setattr(L, "LONGEST", 3)
+    monkeypatch.setattr(L, "EVIDENCE", 10**6)
+    alone = sorted(map(tuple, L.identify(docs, docs.lang.isNotNull()).collect()))
+    assert [r[:2] for r in alone] == [r[:2] for r in want]
+    long = documents([(1, "x" * 70_000, "en"), (2, "dieseranderenaufgehendensonne" * 400, None),
+                      (3, "thehouseoftherisingsun" * 400, None)])
+    got = L.predict(long, L.fit(docs, L.load_pieces(), Scratch(spark, "t"))).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] > 1} == {2: "de", 3: "en"}
 
 
 def train(documents):
