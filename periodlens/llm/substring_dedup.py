@@ -2,10 +2,12 @@
 
 A suffix starts at every word that has ``width`` words to go. Suffixes are split by
 variable-length word prefixes: a branch with too many suffixes for one group is
-extended by a further word, so that every group fits. A group's subtree is built
-down to depth ``width``: suffixes that share their first ``width`` words meet in one
-node, and a node with more than one leaf is a repeat. Its first leaf by (doc_id,
-place) stays; runs of other leaves are the repeated stretches, which are removed.
+extended by a further word, so that groups fit in memory. Of a group's subtree only the
+nodes at depth ``width`` are made: suffixes that share their first ``width`` words meet in
+one node, and a node with more than one leaf is a repeat. (Nothing above or below that
+depth is needed for the result, and no node is branched further: repeats longer than
+``width`` show as runs of places.) A node's first leaf by (doc_id, place) stays; runs of
+other leaves are the repeated stretches, which are removed.
 
 Nodes are known by 64-bit hashes of their path, so suffixes travel as sorted arrays
 of hashes and places, packed per slice of rows and group: about 9 bytes a suffix. A
@@ -19,7 +21,8 @@ document after all others; an empty table gives an empty result; other columns p
 
 Scale: one pass over the texts per level of the prefix tree (two or three), one for
 the suffixes, and one shuffle of the compressed texts to their repeats, by document.
-The number of groups follows the suffixes; the driver holds a few numbers per group.
+The number of groups follows the suffixes; the driver holds at most four heavy branches
+per group and level.
 The result depends on the rows alone, not on how they are split."""
 
 from __future__ import annotations
@@ -43,91 +46,98 @@ SLICE = 1 << 22
 CODE_BITS = 10  # of a word's hash in a prefix
 CODES = 1 << CODE_BITS
 LEVELS = 4  # of words in a prefix; a branch still too large is split by whole paths
+HELD_BRANCHES = 1 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 
 class PrefixTree:
-    """Branches (node * CODES + code of the next word) and their groups."""
-
-    def __init__(self):
-        self.child = np.full(CODES, -1, np.int64)  # branch -> node, -1: not extended
-        self.group = np.zeros(CODES, np.int64)  # branch -> its first group
-        self.split = np.ones(CODES, np.int64)  # branch -> groups it is split into by path
-
-    def extend(self, branches: list[int]) -> None:
-        for branch in branches:
-            self.child[branch] = len(self.child) // CODES
-            self.child = np.concatenate([self.child, np.full(CODES, -1, np.int64)])
-
-    def branches(self, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """The branch at which the prefix of each suffix ends."""
-        out = codes[begin].astype(np.int64)
-        moving = np.arange(len(begin))
-        for k in range(1, LEVELS):
-            down = self.child[out[moving]]
-            moving, down = moving[down >= 0], down[down >= 0]
-            if not len(moving):
-                break
-            out[moving] = down * CODES + codes[begin[moving] + k]
-        return out
-
-    def plan(self, sizes: dict[int, int], fits: int) -> int:
-        """Gives each branch its group, small ones into the group with most room, and
-        splits those above ``fits``. Returns the number of groups."""
-        self.group = np.zeros(len(self.child), np.int64)
-        self.split = np.ones(len(self.child), np.int64)
-        room = np.zeros(max(1, -(-sum(n for n in sizes.values() if n <= fits) // fits)), np.int64)
-        groups = len(room)
-        for branch, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-            if n > fits:
-                self.group[branch], self.split[branch] = groups, -(-n // fits)
-                groups += int(self.split[branch])
-            else:
-                least = int(room.argmin())
-                self.group[branch] = least
-                room[least] += n
-        return groups
-
-    def groups(self, codes: np.ndarray, begin: np.ndarray, path: np.ndarray) -> np.ndarray:
-        branch = self.branches(codes, begin)
-        by_path = mix(path ^ np.uint64(7)) % self.split[branch].astype(np.uint64)
-        return self.group[branch] + by_path.astype(np.int64)
+    """Branches (node * CODES + code of the next word) with too many suffixes for a group,
+    sorted, and the node that extends each one; 0 where its suffixes are dealt by whole
+    paths. All other branches go to groups by their hash."""
+
+    def __init__(self, groups: int = 1):
+        self.groups = groups
+        self.heavy, self.node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.nodes = 1
+
+    def extend(self, branches: np.ndarray, by_path: bool = False) -> None:
+        new = np.arange(self.nodes, self.nodes + len(branches))
+        self.nodes += 0 if by_path else len(branches)
+        heavy = np.concatenate([self.heavy, branches])
+        node = np.concatenate([self.node, new * (not by_path)])
+        order = np.argsort(heavy)
+        self.heavy, self.node = heavy[order], node[order]
+
+    def branches(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The branch at which the prefix of each suffix ends, and whether it is dealt by
+        path."""
+        out, by_path = codes[begin].astype(np.int64), np.zeros(len(begin), bool)
+        moving, k = np.arange(len(begin)), 1
+        while len(moving) and len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, out[moving]), len(self.heavy) - 1)
+            hit = self.heavy[at] == out[moving]
+            moving, node = moving[hit], self.node[at[hit]]
+            by_path[moving[node == 0]] = True
+            moving, node = moving[node > 0], node[node > 0]
+            out[moving] = node * CODES + codes[begin[moving] + k]
+            k += 1
+        return out, by_path
+
+    def group_of(self, codes: np.ndarray, begin: np.ndarray, path: np.ndarray) -> np.ndarray:
+        branch, by_path = self.branches(codes, begin)
+        key = np.where(by_path, path ^ np.uint64(7), branch.view(np.uint64))
+        return (mix(key) % np.uint64(self.groups)).astype(np.int64)
 
 
 def word_codes(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - CODE_BITS)).astype(np.int64)
 
 
-def grow_tree(docs: DataFrame, width: int = WIDTH, fits: int = GROUP_SUFFIXES
-              ) -> tuple[PrefixTree, int]:
-    """Counts suffixes by branch and extends the branches above ``fits``, level by
-    level. A task sends at most one number per branch."""
-    tree = PrefixTree()
+def branch_counts(docs: DataFrame, tree: PrefixTree, width: int, from_node: int) -> DataFrame:
+    """branch, n: suffixes at each branch of the nodes from ``from_node`` on."""
+    sent = send(docs.sparkSession, tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = sent(), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            key, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for b in (part for whole in batches for part in slices(whole, "__text")):
+            data, at = text_bytes(b.column(0))
+            starts, ends, first = word_bounds(data, at)
+            begin = window_starts(first, width)
+            branch = known.branches(word_codes(range_hashes(data, starts, ends)), begin)[0]
+            held.append(np.unique(branch[branch >= from_node * CODES], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_BRANCHES:
+                held, size = [summed()], 0
+        if held:
+            branch, n = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(branch), pa.array(n)], names=["branch", "n"])
+
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    for level in range(1, LEVELS + 1):
-        sent = send(docs.sparkSession, tree)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = sent()
-            counts = np.zeros(len(known.child), np.int64)
-            for b in (part for whole in batches for part in slices(whole, "__text")):
-                data, at = text_bytes(b.column(0))
-                starts, ends, first = word_bounds(data, at)
-                begin = window_starts(first, width)
-                codes = word_codes(range_hashes(data, starts, ends))
-                counts += np.bincount(known.branches(codes, begin), minlength=len(counts))
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])],
-                                             names=["branch", "n"])
-
-        sizes = {r["branch"]: r["n"] for r in
-                 texts.mapInArrow(run, "branch long, n long")
-                 .groupBy("branch").agg(F.sum("n").alias("n")).collect()}
-        heavy = sorted(b for b, n in sizes.items() if n > fits)
-        if not heavy or level == LEVELS:
-            return tree, tree.plan(sizes, fits)
-        tree.extend(heavy)
-    raise AssertionError
+    return (texts.mapInArrow(run, "branch long, n long")
+            .groupBy("branch").agg(F.sum("n").alias("n")))
+
+
+def grow_tree(docs: DataFrame, width: int = WIDTH, fits: int = GROUP_SUFFIXES) -> PrefixTree:
+    """Extends the branches above a quarter of a group, level by level. Spark sums the
+    suffixes of branches; the driver gets the heavy ones alone, at most four per group and
+    level. Groups hold a third of ``fits`` on average, as hashing deals them unevenly."""
+    first = {r["branch"]: r["n"] for r in branch_counts(docs, PrefixTree(), width, 0).collect()}
+    tree = PrefixTree(max(1, -(-3 * sum(first.values()) // fits)))
+    heavy = [b for b, n in first.items() if 4 * n > fits]
+    for level in range(2, LEVELS + 1):
+        if not heavy:
+            return tree
+        from_node = tree.nodes
+        tree.extend(np.array(sorted(heavy)))
+        counts = branch_counts(docs, tree, width, from_node).where(F.col("n") * 4 > fits)
+        heavy = [r["branch"] for r in counts.collect()]
+    tree.extend(np.array(sorted(heavy), np.int64), by_path=True)
+    return tree
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -231,7 +241,7 @@ def pack_slice(batch: pa.RecordBatch, tree: PrefixTree, parts: int, targets: int
         codes_here = word_codes(hashes)
         here = window_hashes(hashes, width)[begin] if len(begin) else np.zeros(0, np.uint64)
         path.append(here)
-        codes.append(tree.groups(codes_here, begin, here).astype(np.int32))
+        codes.append(tree.group_of(codes_here, begin, here).astype(np.int32))
         place.append((begin - first[row]).astype(np.int32))
         rows.append((row + base).astype(np.int32))
         words.append(np.maximum(np.diff(first) - width + 1, 0))
@@ -305,11 +315,10 @@ def subtree_repeats(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return doc[later], place[later], path[later]
 
 
-def repeats(docs: DataFrame, tree: PrefixTree, groups: int, targets: int, width: int = WIDTH
-            ) -> DataFrame:
+def repeats(docs: DataFrame, tree: PrefixTree, targets: int, width: int = WIDTH) -> DataFrame:
     """target and packed repeats: all starts of windows of ``width`` words whose words
     also start earlier, one row per group (or slice) and target."""
-    sent = send(docs.sparkSession, tree)
+    sent, groups = send(docs.sparkSession, tree), tree.groups
     src = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,10 +382,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP_SUFF
                     ) -> DataFrame:
     """All columns; ``text`` holds the kept words joined by one space where words were
     removed (null texts stay null), ``n_words`` and ``n_removed`` count words."""
-    tree, groups = grow_tree(docs, width, group)
+    tree = grow_tree(docs, width, group)
     # Texts and repeats meet by parts of about one group's words.
-    targets = groups
-    found = repeats(docs, tree, groups, targets, width)
+    targets = tree.groups
+    found = repeats(docs, tree, targets, width)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     small = zipped(docs.select(*columns), more="__target int", also=lambda b: [pa.array(
         target_of(b.column("doc_id").fill_null(LAST_ID).to_numpy(zero_copy_only=False), targets))])

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -101,13 +102,49 @@ def test_packing_round_trips():
     assert (S.unpack_sorted(S.pack_sorted(odd)) == odd).all()
 
 
-def test_every_group_fits():
-    tree = S.PrefixTree()
-    tree.extend([3, 5])
-    sizes = {0: 10, 1: 90, 3 * 0 + 2: 55, S.CODES + 7: 230, S.CODES * 2 + 1: 20}
-    n = tree.plan(sizes, 100)
-    room = np.zeros(n)
-    for branch, size in sizes.items():
-        for k in range(int(tree.split[branch])):
-            room[tree.group[branch] + k] += size / tree.split[branch]
-    assert room.max() <= 110 and tree.split[S.CODES + 7] == 3
+def test_heavy_branches_are_extended_and_the_rest_is_hashed():
+    codes = np.array([1, 2, 3, 1, 2, 4, 5, 1, 2, 3], np.int64)
+    begin = np.arange(7)
+    tree = S.PrefixTree(10)
+    assert tree.branches(codes, begin)[0].tolist() == codes[:7].tolist()
+    tree.extend(np.array([1, 5]))  # nodes 1 and 2
+    tree.extend(np.array([S.CODES + 2]))  # node 3: first words 1, 2
+    tree.extend(np.array([3 * S.CODES + 4]), by_path=True)
+    branch, by_path = tree.branches(codes, begin)
+    assert branch.tolist() == [3 * S.CODES + 3, 2, 3, 3 * S.CODES + 4, 2, 4, 2 * S.CODES + 1]
+    assert by_path.tolist() == [False] * 3 + [True] + [False] * 3
+    path = np.arange(7).astype(np.uint64)
+    group = tree.group_of(codes, begin, path)
+    other = tree.group_of(codes, begin, path + np.uint64(100))
+    assert (group < 10).all() and (group == other).tolist()[:3] == [True] * 3
+
+
+def test_many_branches_take_no_time():
+    tree = S.PrefixTree(1000)
+    rng = np.random.default_rng(2)
+    begun = time.perf_counter()
+    for _ in range(4):
+        tree.extend(np.unique(rng.integers(0, 1 << 40, 25_000)))
+    codes = rng.integers(0, S.CODES, 300_000)
+    tree.branches(codes, np.arange(299_990))
+    assert len(tree.heavy) > 99_000 and time.perf_counter() - begun < 5
+
+
+def test_groups_fit_however_skewed_the_prefixes(spark, documents):
+    """Half of all suffixes begin alike: groups stay within their bound of suffixes."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["the", "the", "of", f"w{rng.randint(0, 99)}"])
+                         for _ in range(200))) for k in range(60)]
+    docs = documents(rows)
+    tree = S.grow_tree(docs, 6, 2000)
+    assert tree.groups == -(-3 * 60 * 195 // 2000) and len(tree.heavy) > 3
+    size = np.zeros(tree.groups, int)
+    for _, text in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, first = S.word_bounds(raw, np.array([0, len(raw)]))
+        words = S.range_hashes(raw, starts, ends)
+        path = S.window_hashes(words, 6)
+        size += np.bincount(tree.group_of(S.word_codes(words), np.arange(195), path),
+                            minlength=tree.groups)
+    assert size.sum() == 60 * 195 and size.max() <= 2000
+    check(rows, docs, 6, group=2000)
