@@ -20,12 +20,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, schema_of, small_batches
+from .scratch import Scratch, schema_of, send
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern of that public vocabulary (a fixed value).
@@ -34,11 +35,11 @@ BLOCK = 1024
 PIECE = 1 << 16
 
 
-def load_encoding(path: str, pattern: str = PATTERN):
+def load_encoding(lines: bytes, pattern: str = PATTERN):
+    """The encoding of a vocabulary file's content."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks,
                              special_tokens={})
 
@@ -58,14 +59,14 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text",
                     keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and n_tokens of every row."""
-    small_batches(docs.sparkSession)
-    path = vocabulary
+    """``keep`` columns and n_tokens of every row. The vocabulary is read by the driver;
+    tasks get its content."""
+    sent = send(docs.sparkSession, Path(vocabulary).read_bytes())
     src = docs.select(*keep, F.col(text).alias("__text"))
     schema = schema_of(docs.select(*keep), "n_tokens long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(path)
+        encoding = load_encoding(sent())
         for b in batches:
             n = [sum(len(encoding.encode_ordinary(p)) for p in pieces(t)) if t else 0
                  for t in b.column("__text").to_pylist()]

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from periodlens.llm import token_counts as T
 
@@ -6,7 +7,7 @@ from .conftest import hostile_rows
 
 
 def brute(texts):
-    e = T.load_encoding(T.VOCABULARY)
+    e = T.load_encoding(Path(T.VOCABULARY).read_bytes())
     return [len(e.encode_ordinary(t)) if t else 0 for t in texts]
 
 
@@ -35,7 +36,7 @@ def test_table_answers_every_limit(spark, documents):
 
 
 def test_pieces_keep_the_count():
-    rng, e = random.Random(4), T.load_encoding(T.VOCABULARY)
+    rng, e = random.Random(4), T.load_encoding(Path(T.VOCABULARY).read_bytes())
     for _ in range(200):
         text = "".join(rng.choices(["a", "b's", " ", "  ", "\n", " \n", "é", "12", "!?", "\t"],
                                    k=60))
