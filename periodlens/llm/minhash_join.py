@@ -50,6 +50,7 @@ COORDINATES, MISSED = 64, 2.5e-6
 LIST = 4096
 GROUP_SHINGLES = 2_000_000
 CELLS = 1 << 16
+SALTS = 64  # parts in which rows meet the names of large groups
 
 
 def matches_for(percent: int) -> int:
@@ -190,12 +191,17 @@ def _pairs(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 
 def in_blocks(rows: DataFrame, key: str, large: DataFrame, member: str = "id") -> DataFrame:
     """``rows`` with columns i and j: groups named in ``large`` (key, blocks) are dealt
-    into blocks by member, and each row goes to every pair of blocks with its own."""
+    into blocks by member, and each row goes to every pair of blocks with its own. Rows
+    meet the large groups' names in ``SALTS`` parts by member, so that a group is never in
+    one task before it is dealt."""
+    salt = F.pmod(F.xxhash64(member, F.lit(1)), F.lit(SALTS)).cast("int")
+    spread = (large.select(key, F.col("blocks").cast("long"))
+              .withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     own = F.pmod(F.xxhash64(member), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other:
                         F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    return (rows.join(large.select(key, F.col("blocks").cast("long")), key, "left")
+    return (rows.withColumn("__s", salt).join(spread, [key, "__s"], "left")
             .withColumn("__b", F.explode(F.when(F.col("blocks").isNotNull(), pairs)
                                          .otherwise(alone)))
             .select(*rows.columns, "__b.i", "__b.j"))
