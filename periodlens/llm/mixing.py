@@ -346,7 +346,7 @@ class Mix:
         filled = fill_slots(groups.select("source_id", "chunks", "slots"), block_words,
                             docs.schema["doc_id"].dataType.simpleString())
         self.output = scratch.write(
-            filled.join(F.broadcast(table.select("source_id", "source")), "source_id"),
+            filled.join(table.select("source_id", "source"), "source_id"),
             "output", compression="zstd")
         scratch.drop("texts")
         taken = (self.output.select("source_id", F.explode("parts").alias("p"))
