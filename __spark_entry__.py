@@ -8,7 +8,6 @@ DuckDB SQL over the same tables.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -305,19 +304,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _training_data():
-    """The queries of the training-data operators, where that subpackage is present."""
-    if importlib.util.find_spec("periodlens.llm") is None:
+    """The queries of the training-data operators, where they can be imported."""
+    try:
+        from periodlens.llm import queries as training
+    except ImportError:
         return {}, {}
-    from periodlens.llm import queries as training
-
-    found = dict(training.QUERIES)
-    if importlib.util.find_spec("corpus_pipeline") is not None:
+    found, sql = dict(training.QUERIES), dict(training.SQL)
+    try:
         import corpus_pipeline
-
-        found["pipeline"] = corpus_pipeline.run
-        if corpus_pipeline.ORACLE_SQL:
-            return found, {**training.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
-    return found, dict(training.SQL)
+    except ImportError:
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    return found, sql | ({"pipeline": corpus_pipeline.ORACLE_SQL}
+                         if corpus_pipeline.ORACLE_SQL else {})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,7 +23,7 @@ from ..operators.filters import Selection, key_equals, non_empty
 from ..operators.ranking import order_columns, top_n, top_n_per_parent
 from ..operators.two_period import two_period
 from ..params import Periods
-from ..session import scratch_path
+from ..session import drop_path, scratch_path
 
 STORE = ("magaza_kod", ("magaza_ad", "bs"))
 
@@ -178,7 +178,8 @@ def falling_stores_named(fact: DataFrame, periods: Periods,
                          selection: Selection = Selection(), n: int = 5) -> DataFrame:
     """FLT-20, batch: the falling stores of every product under its name, from one
     pass over the fact. The pass is written (product and store grain, to the shared
-    folder): both the lists and the product names are aggregated from it."""
+    folder): both the lists and the product names are aggregated from it. The result,
+    at most ``n`` rows per product, is written too, and the pass deleted."""
     from .analyses import product_analysis
     from .page import PRODUCT_GRAIN, grain_base
     spark = fact.sparkSession
@@ -187,8 +188,13 @@ def falling_stores_named(fact: DataFrame, periods: Periods,
     grain_base(fact, periods, grain, selection).write.parquet(path)
     base = spark.read.parquet(path)
     floor = Selection(min_ciro=selection.min_ciro)
-    return with_product_names(falling_stores(base, periods, "urun_kod", n=n),
-                              product_analysis(base, periods, floor))
+    named = with_product_names(falling_stores(base, periods, "urun_kod", n=n),
+                               product_analysis(base, periods, floor))
+    try:
+        named.write.parquet(f"{path}-named")
+    finally:
+        drop_path(spark, path)
+    return spark.read.parquet(f"{path}-named")
 
 
 def product_name(products: DataFrame, code: str) -> DataFrame:
