@@ -3,9 +3,11 @@ benchmark decontamination, mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
 all but the last return the columns of ``documents``. Cases that stages define:
-empty and null texts go in the language stage; of rows with one doc_id one stays in
-the near-dedup stage, while rows without doc_id stay as they are; an empty table
-gives an empty table of the same columns."""
+empty and null texts go in the language stage, and so do texts that none of the learned
+languages explains; the near-dedup stage knows rows by doc_id and text, so different texts
+under one doc_id are judged each by itself, rows without doc_id are copies like any other,
+and of rows that agree in both one stays; an empty table gives an empty table of the same
+columns. Of a run, each stage's table is deleted once the next one is written."""
 
 from __future__ import annotations
 
@@ -21,25 +23,37 @@ MIN_LANGUAGE_SCORE = 0.5  # below, no language is likelier than all others toget
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go, and those that no language explains best. The models
-    learn from the stage's own documents that have a language."""
-    found = language_id.identify(docs, F.col("lang").isNotNull(), tuple(docs.columns))
-    return (found.where((F.col("lang_pred") != "und")
-                        & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns))
+    """Texts without a letter go, those that no language explains best, and those that
+    their language explains far worse than its other texts. The models learn from the
+    stage's own documents that have a language."""
+    scratch = Scratch(spark, "languages")
+    own = {c: f"__own_{c}" for c in docs.columns if c in language_id.ADDED}
+    rows = docs.withColumnsRenamed(own)
+    found = scratch.write(language_id.identify(rows, F.col("lang").isNotNull(),
+                                               tuple(rows.columns), fits=True), "found")
+    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return language_id.in_band(good).select(
+        *[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id."""
-    kept = (minhash_join.near_duplicates(docs, percent=NEAR_PERCENT)
-            .where("kept and doc_id is not null").select("doc_id").distinct())
-    packed = zipped(docs.where("doc_id is not null")).join(kept, "doc_id", "left_semi")
-    # Rows of one doc_id are copies or versions of one document.
-    others = [c for c in packed.columns if c != "doc_id"]
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*others))
-    packed = packed.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    """One document of each group stays: the one with the smallest doc_id (rows without
+    one come last)."""
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = minhash_join.near_duplicates(
+        rows.select(F.col("__row").alias("doc_id"), "text", F.col("doc_id").alias("__id")),
+        ("doc_id", "__id"), percent=NEAR_PERCENT)
+    heads = (found.groupBy("component_id")
+             .agg(F.min(F.struct(F.col("__id").isNull(), "__id", "doc_id")).alias("head"))
+             .select(F.col("head.doc_id").alias("__row")))
+    packed = zipped(rows).join(heads, "__row", "left_semi")
+    # Rows of one doc_id and text differ in other columns at most.
+    others = [c for c in packed.columns if c != "__row"]
+    packed = (packed.groupBy("__row").agg(F.min_by(F.struct(*others), F.xxhash64(*others))
+                                          .alias("one")).select("one.*"))
     back = packed.mapInArrow(lambda batches: (unzipped(b, "text") for b in batches),
                              schema_of(packed.drop("__zip"), "text string"))
-    return back.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return back.select(*docs.columns)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,6 +94,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(name)
     return docs
 
 
