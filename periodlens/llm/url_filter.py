@@ -8,10 +8,10 @@ Defined cases: null urls and urls without ``://`` have empty host and path; a
 url that no rule fits gets ``default``; repeated rules count once; an empty
 table gives an empty result; other columns pass through unless asked for.
 
-Scale: rules are given by the caller. Up to ``max_broadcast`` of them (about 100
-bytes each) the trie goes to every task and urls are not shuffled. Longer lists
-take the keyed way: a url's host suffixes are joined with the rules' hosts and
-the same order picks the winner."""
+Scale: rules are given by the caller as a list, and their size is known from it: a trie
+estimated at ``max_bytes`` or less goes to every task, and urls are not shuffled. Larger
+lists take the keyed way, with the same result: a url's host suffixes are joined with the
+rules' hosts and the same order picks the winner."""
 
 from __future__ import annotations
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .scratch import schema_of
 
 Rule = tuple[str, str, str]  # host, path, verdict
-MAX_BROADCAST = 200_000
+MAX_BYTES = 64 << 20  # of a trie that is broadcast
+NODE_BYTES = 240  # of a dict with its key, about
 
 
 def host_of(url: Column) -> Column:
@@ -54,6 +55,12 @@ def build_trie(rules: Iterable[Rule]) -> dict:
     return trie
 
 
+def trie_bytes(rules: Iterable[Rule]) -> int:
+    """An upper estimate: a node for every label and segment of every rule, and its text."""
+    return sum(NODE_BYTES * (host.count(".") + path.count("/") + 3)
+               + 2 * len((host + path).encode()) for host, path, _ in rules)
+
+
 def longest_match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     """The winning rule of the deepest host node at which any path rule fits."""
     best, node = None, trie
@@ -83,12 +90,12 @@ def _longest_path(node: dict, path: str) -> tuple[str, str] | None:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow",
                url: str = "url", keep: tuple[str, ...] = ("page_id",),
-               max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+               max_bytes: int = MAX_BYTES) -> DataFrame:
     """``keep`` columns, host, path, rule (null: none fits) and verdict of every row."""
     rules = sorted(set(rules))
     parts = pages.select(*keep, host_of(F.col(url)).alias("host"),
                          path_of(F.col(url)).alias("path"))
-    if len(rules) > max_broadcast:
+    if trie_bytes(rules) > max_bytes:
         return _judge_by_join(parts, rules, default)
     trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
     schema = schema_of(parts, "rule string, verdict string")

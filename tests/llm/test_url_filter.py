@@ -32,7 +32,7 @@ def test_both_ways_agree_and_odd_urls(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     pages = pages.selectExpr("*", "'clash' AS verdict", "1 AS rule")
     want = sorted(U.judge_urls(pages, RULES).collect(), key=lambda r: r.page_id)
-    got = sorted((U.judge_urls(pages, RULES, max_broadcast=0)
+    got = sorted((U.judge_urls(pages, RULES, max_bytes=0)
                   .select("page_id", "host", "path", "rule", "verdict").collect()),
                  key=lambda r: r.page_id)
     key = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in want]
