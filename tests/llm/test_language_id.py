@@ -153,3 +153,27 @@ def test_query_on_held_out_rows(spark):
     assert got.count() == docs.count()
     rows = got.where("held_out").join(docs, "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.97
+
+
+def test_decision_and_score_against_enumeration(spark, documents):
+    """Texts over a small vocabulary: every word's segmentations written out."""
+    rng = np.random.default_rng(8)
+    p = rng.random((len(PIECES) + 1, 3)) * 0.2
+    index = {x: k for k, x in enumerate(PIECES)} | {"?": len(PIECES)}
+    letters, shares = np.array([97, 98], np.uint32), np.log([0.25, 0.75])
+    model = L.Model(PIECES, ["x", "y", "z"], p, letters, shares)
+    texts = [" ".join("".join(rng.choice(list("abq"), rng.integers(1, 6)))
+                      for _ in range(rng.integers(1, 30))) for _ in range(25)]
+    rows = L.predict(documents(list(enumerate(texts))), [model], fits=True).collect()
+    for r in rows:
+        words = texts[r["doc_id"]].split()
+        logs = sum(np.log(sum(np.prod([p[index[x]] for x in s], axis=0)
+                              for s in segmentations(L.WORD + w))) for w in words)
+        mean = logs / len(words) * min(len(words), L.EVIDENCE)
+        top = int(mean.argmax())
+        assert r["lang_pred"] == "xyz"[top]
+        assert r["score"] == pytest.approx(np.exp(mean[top]) / np.exp(mean).sum())
+        alone = sum({"a": shares[0], "b": shares[1]}.get(c, np.log(L.UNKNOWN))
+                    for w in words for c in w)
+        size = sum(map(len, words))
+        assert r["letters"] == size and r["fit"] == pytest.approx((logs[top] - alone) / size)

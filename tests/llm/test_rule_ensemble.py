@@ -62,3 +62,29 @@ def test_query_on_held_out_rows(spark):
     wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
     assert wins / (len(good) * len(bad)) > 0.9
     assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_rules_are_the_ways_through_the_fitted_trees(spark, documents, monkeypatch):
+    """A row satisfies a rule where, and only where, it passes a node of that way."""
+    docs = documents([(k, "word " * (20 + k % 40) + "Ab1 " * (k % 11) + "!! " * (k % 7))
+                      for k in range(150)])
+    rows = stats_of(docs).withColumn("label", (F.col("doc_id") % 7 < 4).cast("int")).cache()
+    seen = []
+    taken = R.tree_rules
+    monkeypatch.setattr(R, "tree_rules", lambda model: seen.append(model) or taken(model))
+    R.fit(rows)
+    rules = taken(seen[0])
+    assert len(rules) == len(set(rules)) > 10
+    for r in rows.collect():
+        passed = set()
+        for tree in seen[0]._java_obj.trees():
+            node, way = tree.rootNode(), ()
+            while node.numDescendants():
+                k, limit = node.split().featureIndex(), node.split().threshold()
+                left = r["stats"][k] <= limit
+                way += ((k, "<=" if left else ">", limit),)
+                passed.add(R.tightened(way))
+                node = node.leftChild() if left else node.rightChild()
+        true = {rule for rule in rules if all(
+            r["stats"][k] <= x if s == "<=" else r["stats"][k] > x for k, s, x in rule)}
+        assert passed == true
