@@ -77,11 +77,6 @@ def test_contract():
     assert all(len(inspect.signature(f).parameters) == 3 for _, f in C.STAGES)
 
 
-def test_run(spark):
-    out = C.run(spark, SF_SMALL)
-    assert out.count() > 100 and "taken" in out.columns
-
-
 WORDS = {"en": "the house of rising sun this is way we wash our hands with other one and then "
                "people said that they would have been here before winter came again".split(),
          "de": "das haus der aufgehenden sonne dies ist ein weg auf dem wir unsere haende "
@@ -115,8 +110,10 @@ def test_near_dedup_knows_rows_by_id_and_text(spark, documents):
                           (4, "short")])
 
 
-def test_corpus_is_the_mix_that_run_counts(spark):
+def test_corpus_is_the_mix_that_run_counts(spark, monkeypatch):
     """The mixed corpus: its slots' words are what run() says it takes, by source."""
+    docs = C.cleaned(spark, SF_SMALL)
+    monkeypatch.setattr(C, "cleaned", lambda *_: docs)
     slots = C.corpus(spark, SF_SMALL).collect()
     assert {"shard", "slot", "source_id", "block", "text", "parts"} <= set(slots[0].asDict())
     assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots)
@@ -127,6 +124,7 @@ def test_corpus_is_the_mix_that_run_counts(spark):
         for p in r["parts"]:
             parts[p["doc_id"]] = parts.get(p["doc_id"], 0) + p["words"]
     taken = C.run(spark, SF_SMALL).collect()
+    assert len(taken) > 100 and len(taken) == docs.count()
     by_source = {}
     for r in taken:
         by_source[r["source"]] = by_source.get(r["source"], 0) + r["taken"]
