@@ -110,7 +110,7 @@ def word_slices(docs: DataFrame, keep: tuple[str, ...], lang: str, text: str) ->
                 for k, language in enumerate(codes.dictionary.to_pylist()):
                     mine = b.filter(pa.array(codes.indices.to_numpy() == k))
                     words, new, own = pieces_of(mine.column("__text"), rows=True)
-                    found = text_counts(*text_bytes(mine.column("__text")))
+                    found = text_counts(*text_bytes(mine.column("__text")), BASE_COUNTS)
                     fields = [*mine.columns[:len(kept)], pa.array(own, pa.int64()),
                               *[pa.array(found[c], pa.int64()) for c in BASE_COUNTS]]
                     rows = pa.StructArray.from_arrays(

@@ -28,30 +28,37 @@ def _in_rows(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(row.astype(np.uint64) + np.uint64(1)))
 
 
-def text_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+def text_counts(data: np.ndarray, at: np.ndarray, only: tuple[str, ...] = COUNTS
+                ) -> dict[str, np.ndarray]:
+    """The counts named in ``only``, by row."""
     rows = np.arange(len(at) - 1)
     starts, ends, first = word_bounds(data, at)
     n_words = np.diff(first)
     per_byte = lambda flags: row_sums(flags, at)
     among = lambda chars: np.isin(np.arange(256), list(chars))[data]
+    between = lambda low, high: per_byte((data >= low) & (data <= high))
     new_char = (data & 0xC0) != 0x80
-    space = among(b" \t\n\x0b\x0c\r")
-    upper = (data >= 65) & (data <= 90)
-    out = {"n_words": n_words, "word_chars": per_byte(new_char & ~space),
-           "n_symbols": per_byte(among(SYMBOLS)), "n_chars_all": per_byte(new_char),
-           "n_upper": per_byte(upper), "n_digits": per_byte((data >= 48) & (data <= 57)),
-           "n_bangs": per_byte(data == 33), "n_pipes": per_byte(data == 124),
-           "n_punct": per_byte(among(b".,;:?'\"()-"))}
     size = ends - starts
-    out["n_short_words"] = row_sums(size <= 3, first)
-    out["n_long_words"] = row_sums(size >= 12, first)
-    uppers = np.concatenate([[0], np.cumsum(upper)])
-    out["n_upper_words"] = row_sums((uppers[ends] - uppers[starts]) * 2 > size, first)
+    simple = {
+        "n_words": lambda: n_words,
+        "word_chars": lambda: per_byte(new_char & ~among(b" \t\n\x0b\x0c\r")),
+        "n_symbols": lambda: per_byte(among(SYMBOLS)),
+        "n_chars_all": lambda: per_byte(new_char),
+        "n_upper": lambda: between(65, 90), "n_digits": lambda: between(48, 57),
+        "n_bangs": lambda: between(33, 33), "n_pipes": lambda: between(124, 124),
+        "n_punct": lambda: per_byte(among(b".,;:?'\"()-")),
+        "n_short_words": lambda: row_sums(size <= 3, first),
+        "n_long_words": lambda: row_sums(size >= 12, first)}
+    out = {name: simple[name]() for name in only if name in simple}
+    if "n_upper_words" in only:
+        uppers = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
+        out["n_upper_words"] = row_sums((uppers[ends] - uppers[starts]) * 2 > size, first)
 
     words = range_hashes(data, starts, ends)
     word_row = np.repeat(rows, n_words)
-    seen = np.unique(_in_rows(words, word_row), return_index=True)[1]
-    out["n_distinct_words"] = np.bincount(word_row[seen], minlength=len(rows))
+    if "n_distinct_words" in only:
+        seen = np.unique(_in_rows(words, word_row), return_index=True)[1]
+        out["n_distinct_words"] = np.bincount(word_row[seen], minlength=len(rows))
 
     # Words that a 3-word window covers which its text holds twice or more.
     begin = window_starts(first, REPEAT_WORDS)
@@ -76,7 +83,7 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     distinct = np.unique(lines, return_index=True)[1]
     out["n_lines"] = np.bincount(row, minlength=len(rows))
     out["n_dup_lines"] = out["n_lines"] - np.bincount(row[distinct], minlength=len(rows))
-    return out
+    return {name: out[name] for name in only}
 
 
 def with_text_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
@@ -89,7 +96,7 @@ def with_text_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "__text"):
-                found = text_counts(*text_bytes(b.column("__text")))
+                found = text_counts(*text_bytes(b.column("__text")), counts)
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns[:-1], *[pa.array(found[c], pa.int64()) for c in counts]],
                     names=[*keep, *counts])
