@@ -17,8 +17,9 @@ word for every ``LONGEST`` letters. Whole texts count.
 
 ``score`` compares the learned languages only. Whether a text is in any of them is told by
 ``fit``: the best language's log probability less that of a background of single letters
-(their shares over all languages), per letter. ``in_band`` sets each language's bound from
-the fits of its own texts.
+(their shares over all languages), per letter. The language's ``floor`` for it is ``SHARE``
+of the mean over the words it has learned, less ``NOISE`` standard deviations of what a text
+of so many letters varies by chance.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0, as
 does every text if no row has a language to learn; null languages do not learn;
@@ -50,10 +51,10 @@ LONGEST, CHUNK = 32, 4096
 UNKNOWN = 1e-7
 STEPS = 2
 EVIDENCE = 20
-BAND_WIDTH, BAND_SHORT = 8.0, 2.0
+SHARE, NOISE = 0.5, 3.0
 LANGUAGES_AT_ONCE = 64
 HELD_WORDS = 300_000
-ADDED = ("lang_pred", "score", "fit", "letters")
+ADDED = ("lang_pred", "score", "fit", "floor")
 BATCH_WORDS = 20_000
 _R = np.uint64(0x9E3779B97F4A7C15)
 
@@ -258,12 +259,14 @@ def count_words(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 class Model:
     """``p``: piece probabilities by language, the unknown letter's last. ``letters`` and
-    ``shares``: the background, sorted code points and log shares."""
+    ``shares``: the background, sorted code points and log shares (``unseen`` for others).
+    ``least`` and ``noise``: a language's floor is ``least - noise / sqrt(letters)``."""
 
     def __init__(self, pieces: list[str], languages: list[str], p: np.ndarray,
-                 letters: np.ndarray, shares: np.ndarray):
+                 letters: np.ndarray, shares: np.ndarray, unseen: float):
         self.pieces, self.languages, self.p = pieces, languages, p
-        self.letters, self.shares = letters, shares
+        self.letters, self.shares, self.unseen = letters, shares, unseen
+        self.least, self.noise = np.full((2, len(languages)), np.nan)
 
     def background(self, words: list[str]) -> np.ndarray:
         """Log probability of each word's letters by themselves."""
@@ -271,13 +274,14 @@ class Model:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.letters, code), max(len(self.letters) - 1, 0))
         known = self.letters[at] == code if len(self.letters) else np.zeros(len(code), bool)
-        logs = np.where(known, self.shares[at] if len(self.letters) else 0.0, np.log(UNKNOWN))
+        logs = np.where(known, self.shares[at] if len(self.letters) else 0.0, self.unseen)
         return row_sums(logs, np.r_[0, np.cumsum(size)])
 
 
-def letter_shares(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the learned words and the logarithms of their shares; the driver gets
-    one number per letter of the scripts in use."""
+def letter_shares(words: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Code points of the learned words, the logarithms of their shares and of an unseen
+    letter's: once in all, and no less than an unknown one has in a model, so that strange
+    letters speak for no language. The driver gets one number per letter of the scripts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
@@ -293,12 +297,15 @@ def letter_shares(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = (words.select("word", "n").mapInArrow(run, "letter int, n double")
             .groupBy("letter").agg(F.sum("n").alias("n")).orderBy("letter").toPandas())
     n = rows["n"].to_numpy(float)
-    return rows["letter"].to_numpy(np.uint32), np.log(n / n.sum()) if len(n) else n
+    unseen = max(-np.log(n.sum() + 1), np.log(UNKNOWN))
+    return (rows["letter"].to_numpy(np.uint32),
+            np.maximum(np.log(n / n.sum()), unseen) if len(n) else n, float(unseen))
 
 
 def fit(docs: DataFrame, pieces: list[str], scratch: Scratch, lang: str = "lang",
-        text: str = "text", steps: int = STEPS) -> list[Model]:
-    """Models of all non-null languages, in groups of LANGUAGES_AT_ONCE."""
+        text: str = "text", steps: int = STEPS, fits: bool = False) -> list[Model]:
+    """Models of all non-null languages, in groups of LANGUAGES_AT_ONCE; with ``fits``
+    they have floors."""
     docs = docs.where(F.col(lang).isNotNull())
     words = scratch.write(count_words(docs, lang, text), "words")
     names = sorted(r["lang"] for r in words.select("lang").distinct().collect())
@@ -310,6 +317,8 @@ def fit(docs: DataFrame, pieces: list[str], scratch: Scratch, lang: str = "lang"
         model = Model(pieces, group, start, *background)
         for _ in range(steps):
             model = em_step(words.where(F.col("lang").isin(group)), model)
+        if fits:
+            set_floors(words.where(F.col("lang").isin(group)), model)
         models.append(model)
     scratch.drop("words")
     return models
@@ -345,22 +354,63 @@ def em_step(words: DataFrame, model: Model) -> Model:
     n[-1] = 0  # unknown letters keep their fixed probability
     p = (n + 0.01) / (n + 0.01).sum(axis=0)
     p[-1] = UNKNOWN
-    return Model(model.pieces, model.languages, p, model.letters, model.shares)
+    return Model(model.pieces, model.languages, p, model.letters, model.shares, model.unseen)
+
+
+def word_logs(finder: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """Log probability of each word by language."""
+    logs = np.zeros((len(words), p.shape[1]))
+    # Sums are held per word and language: fewer words where there are many.
+    for some, ids in finder.lattice(words, 4 * BATCH_WORDS // max(4, p.shape[1])):
+        logs[some] = np.log(forward(ids, p)[-1])
+    for k, word in enumerate(words):
+        if len(word) > LONGEST:
+            logs[k] = long_word(finder, word, p)
+    return logs
+
+
+def set_floors(words: DataFrame, model: Model) -> None:
+    """The floors of a model's languages, from their learned words: one pass, six sums a
+    language."""
+    sent = send(words.sparkSession, model)
+    names = [f"s{k}" for k in range(6)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent()
+        finder, sums = Pieces(m.pieces), np.zeros((6, len(m.languages)))
+        number = {name: k for k, name in enumerate(m.languages)}
+        for b in batches:
+            text = b.column("word").to_pylist()
+            language = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
+            gain = word_logs(finder, text, m.p)[np.arange(len(text)), language]
+            gain -= m.background(text)
+            size, n = np.array([len(w) for w in text], float), b.column("n").to_numpy()
+            for k, x in enumerate((1, size, gain, gain * gain, gain * size, size * size)):
+                sums[k] += np.bincount(language, n * x, len(m.languages))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(m.languages)), pa.int32()), *[pa.array(x) for x in sums]],
+            names=["language", *names])
+
+    rows = (words.mapInArrow(run, "language int, " + ", ".join(f"{c} double" for c in names))
+            .groupBy("language").agg(*[F.sum(c).alias(c) for c in names]).toPandas())
+    n, size, gain, gains, both, sizes = rows.sort_values("language")[names].to_numpy().T
+    mean = gain / size
+    varies = np.maximum(gains - 2 * mean * both + mean * mean * sizes, 0) / n
+    model.least, model.noise = SHARE * mean, NOISE * np.sqrt(varies * n / size)
 
 
 def predict(docs: DataFrame, models: list[Model], keep: tuple[str, ...] = ("doc_id",),
             text: str = "text", fits: bool = False) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` of every row, and with ``fits`` its
-    number of ``letters`` and its ``fit`` (null if ``und``); columns of these names are
-    replaced."""
-    more = ("fit", "letters") if fits else ()
+    ``fit`` and the ``floor`` for it (null if ``und``); columns of these names are replaced."""
+    more = ("fit", "floor") if fits else ()
     keep = tuple(c for c in keep if c not in ("lang_pred", "score", *more))
     out = docs.select(*keep, F.col(text).alias("__text"),
                       F.lit(None).cast("string").alias("__lang"),
                       F.lit(None).cast("double").alias("__best"),
                       F.lit(None).cast("double").alias("__all"),
                       F.lit(None).cast("double").alias("fit"),
-                      F.lit(0).cast("long").alias("letters"))
+                      F.lit(None).cast("double").alias("floor"))
     for model in models:
         out = _score(out, model)
     share = F.exp(F.col("__best") - F.col("__all"))
@@ -368,26 +418,11 @@ def predict(docs: DataFrame, models: list[Model], keep: tuple[str, ...] = ("doc_
                       F.coalesce(share, F.lit(0.0)).alias("score"), *more)
 
 
-def in_band(found: DataFrame, width: float = BAND_WIDTH, short: float = BAND_SHORT) -> DataFrame:
-    """Rows of ``predict(fits=True)`` whose fit is at most ``width`` median absolute
-    deviations, and ``short`` over the root of their letters, below the median of the texts
-    that are given the same language."""
-    # Rounded to 1e-3, a language has a bounded number of values to find a median in.
-    known = found.where("fit is not null").select("lang_pred", F.round("fit", 3).alias("fit"))
-    middle = known.groupBy("lang_pred").agg(F.percentile("fit", F.lit(0.5)).alias("__middle"))
-    spread = (known.join(middle, "lang_pred").groupBy("lang_pred", "__middle")
-              .agg(F.percentile(F.round(F.abs(F.col("fit") - F.col("__middle")), 3), F.lit(0.5))
-                   .alias("__spread")))
-    bound = (F.col("__middle") - width * F.col("__spread")
-             - short / F.sqrt(F.greatest(F.col("letters"), F.lit(1))))
-    return found.join(spread, "lang_pred").where(F.col("fit") >= bound).select(*found.columns)
-
-
 def _score(docs: DataFrame, model: Model) -> DataFrame:
     """Brings the running best language and the sum over languages up to date."""
     sent = send(docs.sparkSession, model)
     schema = schema_of(docs)
-    names = ("__best", "__lang", "__all", "fit", "letters")
+    names = ("__best", "__lang", "__all", "fit", "floor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent()
@@ -400,16 +435,9 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
             texts = [words_of(t) if t else [] for t in b.column("__text").to_pylist()]
             fresh = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in place]
             place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
-            logs = np.zeros((len(fresh), len(m.languages)))
-            # Sums are held per word and language: fewer words where there are many.
-            for some, ids in finder.lattice(fresh, 4 * BATCH_WORDS // max(4, m.p.shape[1])):
-                logs[some] = np.log(forward(ids, m.p)[-1])
-            for k, word in enumerate(fresh):
-                if len(word) > LONGEST:
-                    logs[k] = long_word(finder, word, m.p)
-            known = np.concatenate([known, logs])
+            known = np.concatenate([known, word_logs(finder, fresh, m.p)])
             alone = np.concatenate([alone, m.background(fresh)])
-            best, name, total, fit, size = (b.column(c).to_pylist() for c in names)
+            best, name, total, fit, floor = (b.column(c).to_pylist() for c in names)
             for i, t in enumerate(texts):
                 if not any(c.isalpha() for w in t for c in w):
                     continue
@@ -420,15 +448,16 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
                 top = int(mean.argmax())
                 if best[i] is None or mean[top] > best[i]:
                     best[i], name[i] = float(mean[top]), m.languages[top]
-                    size[i] = sum(map(len, t))
-                    fit[i] = float(logs[top] - alone[at].sum()) / size[i]
+                    size = sum(map(len, t))
+                    fit[i] = float(logs[top] - alone[at].sum()) / size
+                    floor[i] = float(m.least[top] - m.noise[top] / size ** 0.5)
                 own = float(np.logaddexp.reduce(mean))
                 total[i] = own if total[i] is None else float(np.logaddexp(total[i], own))
             cols = [b.column(c) for c in b.schema.names[:-len(names)]]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(name, pa.string()), pa.array(best, pa.float64()),
                  pa.array(total, pa.float64()), pa.array(fit, pa.float64()),
-                 pa.array(size, pa.int64())], names=b.schema.names)
+                 pa.array(floor, pa.float64())], names=b.schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -437,5 +466,6 @@ def identify(docs: DataFrame, learn, keep: tuple[str, ...] = ("doc_id",), lang:
              text: str = "text", vocabulary: str = VOCABULARY, fits: bool = False) -> DataFrame:
     """Fits on the rows where the column ``learn`` holds, predicts every row."""
     scratch = Scratch(docs.sparkSession, "language")
-    models = fit(docs.where(learn), load_pieces(vocabulary), scratch, lang, text)
+    models = fit(docs.where(learn), load_pieces(vocabulary), scratch, lang, text,
+                 fits=fits)
     return predict(docs, models, keep, text, fits)

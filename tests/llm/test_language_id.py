@@ -161,7 +161,8 @@ def test_decision_and_score_against_enumeration(spark, documents):
     p = rng.random((len(PIECES) + 1, 3)) * 0.2
     index = {x: k for k, x in enumerate(PIECES)} | {"?": len(PIECES)}
     letters, shares = np.array([97, 98], np.uint32), np.log([0.25, 0.75])
-    model = L.Model(PIECES, ["x", "y", "z"], p, letters, shares)
+    model = L.Model(PIECES, ["x", "y", "z"], p, letters, shares, -9.0)
+    model.least, model.noise = np.array([0.1, 0.2, 0.3]), np.array([1, 2, 3])
     texts = [" ".join("".join(rng.choice(list("abq"), rng.integers(1, 6)))
                       for _ in range(rng.integers(1, 30))) for _ in range(25)]
     rows = L.predict(documents(list(enumerate(texts))), [model], fits=True).collect()
@@ -173,7 +174,26 @@ def test_decision_and_score_against_enumeration(spark, documents):
         top = int(mean.argmax())
         assert r["lang_pred"] == "xyz"[top]
         assert r["score"] == pytest.approx(np.exp(mean[top]) / np.exp(mean).sum())
-        alone = sum({"a": shares[0], "b": shares[1]}.get(c, np.log(L.UNKNOWN))
+        alone = sum({"a": shares[0], "b": shares[1]}.get(c, -9.0)
                     for w in words for c in w)
         size = sum(map(len, words))
-        assert r["letters"] == size and r["fit"] == pytest.approx((logs[top] - alone) / size)
+        assert r["fit"] == pytest.approx((logs[top] - alone) / size)
+        assert r["floor"] == pytest.approx([0.1, 0.2, 0.3][top] - [1, 2, 3][top] / size ** 0.5)
+
+
+def test_floors_follow_the_learned_words(spark, documents):
+    docs = train(documents)
+    scratch = Scratch(spark, "t")
+    model, = L.fit(docs, L.load_pieces(), scratch, fits=True)
+    words = L.count_words(docs.where("lang is not null"), "lang", "text").collect()
+    logs = L.word_logs(L.Pieces(model.pieces), [r["word"] for r in words], model.p)
+    gain = logs - model.background([r["word"] for r in words])[:, None]
+    for k, language in enumerate(model.languages):
+        mine = [(g[k], len(r["word"]), r["n"]) for g, r in zip(gain, words)
+                if r["lang"] == language]
+        g, size, n = np.array(mine).T
+        mean = (n * g).sum() / (n * size).sum()
+        assert model.least[k] == pytest.approx(L.SHARE * mean)
+        var = (n * (g - mean * size) ** 2).sum() / n.sum()
+        letters = (n * size).sum() / n.sum()
+        assert model.noise[k] == pytest.approx(L.NOISE * np.sqrt(var / letters))
