@@ -24,16 +24,14 @@ MIN_LANGUAGE_SCORE = 0.5  # below, no language is likelier than all others toget
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go, those that no language explains best, and those that
-    their language explains far worse than its other texts. The models learn from the
+    their language explains far worse than the words it learned. The models learn from the
     stage's own documents that have a language."""
-    scratch = Scratch(spark, "languages")
     own = {c: f"__own_{c}" for c in docs.columns if c in language_id.ADDED}
     rows = docs.withColumnsRenamed(own)
-    found = scratch.write(language_id.identify(rows, F.col("lang").isNotNull(),
-                                               tuple(rows.columns), fits=True), "found")
-    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return language_id.in_band(good).select(
-        *[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    found = language_id.identify(rows, F.col("lang").isNotNull(), tuple(rows.columns), fits=True)
+    return (found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)
+                        & (F.col("fit") >= F.col("floor")))
+            .select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns]))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
