@@ -34,7 +34,8 @@ stand; an empty table gives an empty result; extra columns pass where ``keep`` n
 Scale: per distinct n-gram of a slice about two bytes go to the ranges and one comes back;
 a hot n-gram is one number per slice. Texts are not shuffled: the slices' table is bucketed
 by the task that wrote it. A task holds the slices of one input split and their answers, a
-range about ``PART_MASS`` occurrences; the number of ranges follows the mass. Of each
+range about ``PART_MASS`` occurrences; the number of ranges follows the mass. The shuffle
+files of a pass go before the next one begins. Of each
 language a dozen numbers are summed, and joined to the slices. N-grams are told apart by
 hashes of 12 bits more than their number has."""
 
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .collocations import Slice, language_seed, pack_keys, pieces_of, unpack_keys
-from .scratch import Scratch, schema_of, small_batches
+from .scratch import Scratch, freed_shuffles, schema_of, small_batches
 from .substring_dedup import pack_small, unpack_small
 from .text_stats import text_counts
 from .words import _R, lean, mix, row_sums, slices, text_bytes
@@ -488,12 +489,15 @@ def with_nll(docs: DataFrame, keep: tuple[str, ...], lang: str, text: str,
     mass = table.agg(F.sum("mass")).first()[0] or 0
     bits = min(62, max(20, math.ceil(math.log2(mass + 2)) + SPARE_BITS))
     parts = max(1, -(-mass // part_mass))
-    pieces = merged(piece_sums(table, bits, parts), parts, PIECES, pair_numbers)
-    counts = scratch.write(merged(gram_sums(table, pieces.where("home is not null"), bits, parts),
-                                  parts, PAIRS, pair_numbers), "counts")
-    asked = counts.where("home is not null")
-    contexts = scratch.write(merged(context_sums(table, asked, bits, parts), parts, WORDS,
-                                    word_numbers), "contexts")
+    with freed_shuffles(spark):
+        pieces = scratch.write(merged(piece_sums(table, bits, parts), parts, PIECES, pair_numbers)
+                               .where("home is not null"), "pieces")
+        counts = scratch.write(merged(gram_sums(table, pieces, bits, parts), parts, PAIRS,
+                                      pair_numbers), "counts")
+        scratch.drop("pieces")
+        asked = counts.where("home is not null")
+        contexts = scratch.write(merged(context_sums(table, asked, bits, parts), parts, WORDS,
+                                        word_numbers), "contexts")
     summed = [answers.where("home is null").select("lang", F.posexplode("numbers"))
               .groupBy("lang", "pos").agg(F.sum("col").alias("n"))
               .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "n")))
@@ -505,7 +509,8 @@ def with_nll(docs: DataFrame, keep: tuple[str, ...], lang: str, text: str,
             .select("home", "slice", F.lit(MODEL).alias("kind"), "model"))
     answers = (asked.unionByName(contexts.where("home is not null"))
                .unionByName(told, allowMissingColumns=True))
-    rows = scratch.write(scored(table, answers, docs.select(*keep).schema, bits), "scored")
+    with freed_shuffles(spark):
+        rows = scratch.write(scored(table, answers, docs.select(*keep).schema, bits), "scored")
     scratch.drop("slices", "counts", "contexts")
     return rows
 

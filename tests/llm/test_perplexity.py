@@ -3,13 +3,16 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from periodlens.llm import perplexity as P
+from periodlens.llm.scratch import SHUFFLE_CLEANUP
 
 from .conftest import hostile_rows
 
@@ -115,6 +118,33 @@ def test_what_the_sums_are_grows_with_the_texts(spark, documents, monkeypatch):
     assert sizes == [3 * 40, 3 * 400]
 
 
+def shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    dirs = [Path(d.getPath()) for d in env.blockManager().diskBlockManager().localDirs()]
+    return {p.name for d in dirs for p in d.rglob("shuffle_*.data")}
+
+
+def test_no_write_leaves_shuffle_files_beside_the_next(spark, documents, monkeypatch):
+    docs = documents([(k, t) for k, t in enumerate(sentences(40))]).repartition(4)
+    left, write = {}, P.Scratch.write
+
+    def looked_at(self, df, name, *more):
+        before = shuffle_files(spark)
+        out = write(self, df, name, *more)
+        for _ in range(50):  # files go shortly after the write
+            left[name] = shuffle_files(spark) - before
+            if not left[name]:
+                break
+            time.sleep(0.1)
+        return out
+
+    monkeypatch.setattr(P.Scratch, "write", looked_at)
+    setting = spark.conf.get(SHUFFLE_CLEANUP, None)
+    rows = P.with_nll(docs, ("doc_id",), "lang", "text")
+    assert left == dict.fromkeys(["pieces", "counts", "contexts", "scored"], set())
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting and rows.count() == 40
+
+
 def cyrillic(seed, n):
     pick = random.Random(seed)
     stems = ["сло", "мир", "дом", "вод", "лес", "гор", "нов", "ста", "бел", "мор", "зем", "тих"]
