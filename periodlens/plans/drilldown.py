@@ -178,8 +178,8 @@ def falling_stores_named(fact: DataFrame, periods: Periods,
                          selection: Selection = Selection(), n: int = 5) -> DataFrame:
     """FLT-20, batch: the falling stores of every product under its name, from one
     pass over the fact. The pass is written (product and store grain, to the shared
-    folder): both the lists and the product names are aggregated from it. The result,
-    at most ``n`` rows per product, is written too, and the pass deleted."""
+    folder): both the lists and the product names are aggregated from it. They are
+    written too, at most ``n`` rows and one name per product, and the pass deleted."""
     from .analyses import product_analysis
     from .page import PRODUCT_GRAIN, grain_base
     spark = fact.sparkSession
@@ -188,13 +188,14 @@ def falling_stores_named(fact: DataFrame, periods: Periods,
     grain_base(fact, periods, grain, selection).write.parquet(path)
     base = spark.read.parquet(path)
     floor = Selection(min_ciro=selection.min_ciro)
-    named = with_product_names(falling_stores(base, periods, "urun_kod", n=n),
-                               product_analysis(base, periods, floor))
     try:
-        named.write.parquet(f"{path}-named")
+        falling_stores(base, periods, "urun_kod", n=n).write.parquet(f"{path}-lists")
+        product_analysis(base, periods, floor).select("urun_kod", "urun_ad").write.parquet(
+            f"{path}-names")
     finally:
         drop_path(spark, path)
-    return spark.read.parquet(f"{path}-named")
+    return with_product_names(spark.read.parquet(f"{path}-lists"),
+                              spark.read.parquet(f"{path}-names"))
 
 
 def product_name(products: DataFrame, code: str) -> DataFrame:
